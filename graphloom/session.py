@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +28,14 @@ def get_session(app: str = "graphloom", cores: int | str = "*", **conf: str) ->
     return builder.getOrCreate()
 
 
+def reach(spark: SparkSession) -> SparkSession:
+    """Let Python workers that start from now on import this package, wherever the driver found it."""
+    root, known = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(":"):
+        spark.sparkContext.environment["PYTHONPATH"] = f"{known}:{root}".strip(":")
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 

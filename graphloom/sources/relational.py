@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.confidence import noisy_or_all
 from graphloom.functions.vocab import edge_weight
+from graphloom.session import reach
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return reach(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _key(letter: str, column: str):
