@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows that a Python worker handles at a time, whatever the size of Arrow batches: its memory follows.
+ROWS = 512
 #: Labelled rows that a classifier is fitted on at most, taken in the order of a hash of the id.
 MAX_LABELLED = 20_000
 
@@ -21,8 +23,14 @@ def fold_of(key: Column, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit(""))), F.lit(folds)).cast("int")
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of ``ROWS`` rows at most; none of an empty one."""
+    for start in range(0, batch.num_rows, ROWS):
+        yield batch.slice(start, ROWS)
+
+
 def map_arrow(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]], names: list[str]) -> DataFrame:
-    """``mapInArrow`` where ``make()`` is called once a task and its result once a batch.
+    """``mapInArrow`` where ``make()`` is called once a task and its result once ``ROWS`` rows.
 
     The function returns columns by name; they are cast to the Arrow types given in ``schema``.
     """
@@ -33,8 +41,8 @@ def map_arrow(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Record
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for batch in slices(whole):
                 columns = each(batch)
                 yield pa.RecordBatch.from_arrays(
                     [c if isinstance(c := columns[f.name], pa.Array) and c.type == f.type else pa.array(c, type=f.type) for f in arrow],

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import fold_of, labelled, labelled_texts, map_arrow
+from graphloom.llm.common import fold_of, labelled, labelled_texts, map_arrow, slices
 
 FEATURES = (
     "log_bytes", "log_words", "mean_word", "upper", "digit", "space", "newline", "symbol", "bang", "stop_mark",
@@ -195,8 +195,8 @@ def keep(docs: DataFrame, forest: Forest, threshold: float = 0.3) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(forest)
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for batch in slices(whole):
                 yield batch.filter(pa.array(_scores(shared.value, batch.column("text")) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import fold_of, labelled, labelled_texts, map_arrow
+from graphloom.llm.common import fold_of, labelled, labelled_texts, map_arrow, slices
 
 FOLDS, HELD = 4, 2
 #: Plain insults in English, with the weight they have without any label.
@@ -286,8 +286,8 @@ def keep(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -> DataFrame
 
     def run(batches):
         scores = shared.value.scorer()
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for batch in slices(whole):
                 yield batch.filter(pa.array(scores(batch.column("text").to_pylist()) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
