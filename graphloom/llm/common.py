@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.session import reach
+
 #: Rows that a Python worker handles at a time, whatever the size of Arrow batches: its memory follows.
 ROWS = 512
 #: Labelled rows that a classifier is fitted on at most, taken in the order of a hash of the id.
@@ -15,7 +17,7 @@ MAX_LABELLED = 20_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return reach(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def fold_of(key: Column, folds: int) -> Column:
@@ -34,7 +36,7 @@ def map_arrow(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Record
 
     The function returns columns by name; they are cast to the Arrow types given in ``schema``.
     """
-    target = df.sparkSession.createDataFrame([], schema).schema
+    target = reach(df.sparkSession).createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(target)
