@@ -21,7 +21,7 @@ EDGE_WEIGHTS = {
 }
 DEFAULT_WEIGHT = 0.5
 #: Predicates without a direction.
-SYMMETRIC = ("ASSOCIATED_WITH", "AFFILIATED_WITH", "FAMILY_OF", "MENTIONED_WITH", "MET_WITH", "SHARES_ADDRESS", "TRAVELED_WITH")
+SYMMETRIC = ("MET_WITH", "FAMILY_OF", "TRAVELED_WITH", "ASSOCIATED_WITH", "AFFILIATED_WITH", "CONTRACTED_WITH", "LINKED_OFFSHORE")
 #: Titles in front of a person's name, and what may follow it.
 HONORIFICS = (
     "mr mrs ms miss dr prof professor sir dame lord lady hon reverend rev senator sen representative rep governor gov "

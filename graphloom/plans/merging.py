@@ -31,7 +31,7 @@ def k03_edge_merge(spark, d):
 @query(
     f"WITH {OBSERVATIONS_SQL}, o AS (SELECT subject, predicate, object, doc_id, right(doc_id, 1) < '5' AS old, max(confidence) AS c FROM observations WHERE subject <> object GROUP BY 1, 2, 3, 4, 5), "
     "b AS (SELECT subject, predicate, object, old, round(1 - product(1 - c), 6) AS c, count(*) AS n FROM o GROUP BY 1, 2, 3, 4) "
-    "SELECT subject, predicate, object, round(1 - product(1 - c) + 0.00001234567, 4) AS confidence, sum(n)::BIGINT AS observations FROM b GROUP BY 1, 2, 3"
+    "SELECT subject, predicate, object, round(1 - product(1 - c), 6) AS confidence, sum(n)::BIGINT AS observations FROM b GROUP BY 1, 2, 3"
 )
 def k03_edge_upsert(spark, d):
     """Two batches, the second sent twice: the result is that of all observations at once."""
@@ -41,7 +41,7 @@ def k03_edge_upsert(spark, d):
     stored, new = batch(o.where(split)), batch(o.where(~split))
     # no document list is cut here, so that a repeated batch is known as such
     once = upsert.upsert_edges(stored, new, most_docs=10_000)
-    return upsert.upsert_edges(once, new, most_docs=10_000).select("subject", "predicate", "object", F.round(F.col("confidence") + 0.00001234567, 4).alias("confidence"), "observations")
+    return upsert.upsert_edges(once, new, most_docs=10_000).select("subject", "predicate", "object", "confidence", "observations")
 
 
 @query("SELECT 'D' || l_orderkey AS doc_id, 'O' || l_suppkey AS key, count(*) AS n, min(l_linenumber * 40)::INTEGER AS first_at, max(l_discount) AS confidence, array_to_string(list_sort(list(DISTINCT l_returnflag)), ',') AS surfaces FROM lineitem GROUP BY 1, 2")
