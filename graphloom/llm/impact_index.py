@@ -4,8 +4,8 @@ Vectors are packed into blocks. In a block, each dimension has two lists of post
 falling and one by rising value: a segment holds the members whose value falls in one quantised step,
 and all of them get the same impact. A query's impacts are its component times the segment's
 distance from the far end of the list, so none is negative. Segments are processed by descending
-impact until the k-th best lower bound proves that no member that isn't within reach can enter; the
-members that may are scored exactly. Where the proof never comes, all segments are used up: the
+impact, a band of them at a time, until the k-th best lower bound proves that no member that isn't
+within reach can enter; the members that may are scored exactly. Where the proof never comes, all segments are used up: the
 result is the same.
 
 Defined cases: vectors that are null or hold a null or non-finite component take no part; vectors of
@@ -28,7 +28,9 @@ from graphloom.session import materialize
 
 SCALE, K, EVERY = 64, 20, 20
 #: Members of an index block, queries of a query block, and quantised steps of a list at most.
-BLOCK, QUERIES, STEPS = 16_384, 1_024, 12
+BLOCK, QUERIES, STEPS = 16_384, 1_024, 256
+#: Bands in which a query's segments are used up, a proof being tried after each.
+BANDS = 4
 #: Floats below which products and sums of whole numbers are exact.
 _EXACT = float(2**53)
 
@@ -37,85 +39,79 @@ _EXACT = float(2**53)
 class Index:
     """One block: ``ids`` (n), ``vectors`` (n, d) of whole numbers, and its posting segments.
 
-    ``members[d]`` lists the block's members by rising value in dimension d; segment s of it is
-    ``members[d][bounds[d][s] : bounds[d][s + 1]]`` and holds values from ``low[d][s]`` to ``high[d][s]``.
+    ``postings`` lists the members by dimension, inside it by rising value. Segment s is
+    ``postings[start[s] : start[s + 1]]``, lies in dimension ``dim[s]`` and holds values from ``low[s]``
+    to ``high[s]``; ``first[d]`` is the first segment of dimension d.
     """
 
     ids: np.ndarray
     vectors: np.ndarray
-    members: list[np.ndarray]
-    bounds: list[np.ndarray]
-    low: list[np.ndarray]
-    high: list[np.ndarray]
+    postings: np.ndarray
+    start: np.ndarray
+    dim: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    first: np.ndarray
     floats: np.ndarray
 
     @classmethod
     def build(cls, ids: np.ndarray, vectors: np.ndarray) -> Index:
-        members, bounds, low, high = [], [], [], []
-        for column in vectors.T:
+        n, width = vectors.shape
+        postings, starts, dims, low, high, first = [], [], [], [], [], []
+        for d, column in enumerate(vectors.T):
             order = np.argsort(column, kind="stable").astype(np.int32)
             ranked = column[order]
-            width = max(1, -(-(int(ranked[-1]) - int(ranked[0]) + 1) // STEPS))
-            step = (ranked - ranked[0]) // width
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(step)) + 1, [len(order)]])
-            members.append(order)
-            bounds.append(cuts)
+            size = max(1, -(-(int(ranked[-1]) - int(ranked[0]) + 1) // STEPS))
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff((ranked - ranked[0]) // size)) + 1, [n]])
+            first.append(len(dims))
+            postings.append(order)
+            starts += (cuts[:-1] + d * n).tolist()
+            dims += [d] * (len(cuts) - 1)
             low.append(ranked[cuts[:-1]])
             high.append(ranked[cuts[1:] - 1])
-        return cls(ids, vectors, members, bounds, low, high, vectors.astype(np.float64))
+        empty = np.zeros(0, np.int64)
+        return cls(
+            ids, vectors, np.concatenate([*postings, empty.astype(np.int32)]), np.array([*starts, n * width], np.int64), np.array(dims, np.int64),
+            np.concatenate([*low, empty]), np.concatenate([*high, empty]), np.array(first, np.int64), vectors.astype(np.float64),
+        )
 
     def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k best (ids, scores) of the block for one query, without the member ``own``."""
         n = len(self.ids)
         weights = query.astype(np.int64)
-        # per dimension, segments by falling impact: from the high end for a positive weight, else from the low end
-        todo: list[tuple[int, int, int, int]] = []  # impact, next impact of the list, dimension, segment
-        slack_of: list[int] = []  # how much a segment's members may differ
-        base = 0
-        for d in np.flatnonzero(weights).tolist():
-            w = int(weights[d])
-            count = len(self.low[d])
-            best = self.high[d] if w > 0 else self.low[d]
-            floor_ = int(self.low[d][0] if w > 0 else self.high[d][-1])
-            base += w * floor_
-            impacts = (w * (best.astype(np.int64) - floor_)).tolist()
-            order = range(count - 1, -1, -1) if w > 0 else range(count)
-            places = list(order)
-            for p, s in enumerate(places):
-                after = impacts[places[p + 1]] if p + 1 < count else 0
-                if impacts[s]:
-                    todo.append((impacts[s], after, d, s))
-                    slack_of.append(abs(w) * (int(self.high[d][s]) - int(self.low[d][s])))
-        if not todo:  # a query of zeros: every score is zero
+        if not weights.any() or n <= 4 * k:  # every score is zero, or every member may belong
             return self._best(np.arange(n), weights, own, k)
-        by = sorted(range(len(todo)), key=lambda i: -todo[i][0])
-        # upper: what a member has collected at most; a member not met yet in a dimension has the list's next impact at most
-        upper = np.zeros(n, np.int64)
-        first = {}
-        for impact, _, d, _ in todo:
-            first[d] = max(first.get(d, 0), impact)
-        left = sum(first.values())
-        slack = 0
-        slack_in: dict[int, int] = {}
-        done = 0
-        check = max(8, len(by) // 24)
-        for i in by:
-            impact, after, d, s = todo[i]
-            cut = self.bounds[d]
-            upper[self.members[d][cut[s] : cut[s + 1]]] += impact
-            left += after - impact  # each list's rest is bounded by its next impact
-            worst = max(slack_in.get(d, 0), slack_of[i])
-            slack += worst - slack_in.get(d, 0)
-            slack_in[d] = worst
-            done += 1
-            if done % check == 0 and n > 4 * k:
-                # proof: upper - slack is a lower bound (the rest can't be negative), upper + left an upper one
-                kth = np.partition(upper, n - k - 1)[n - k - 1]
-                possible = np.flatnonzero(upper + left >= kth - slack)
-                if len(possible) <= max(4 * k, n // 4):  # to score these is less work than the segments left
-                    return self._best(possible, weights, own, k)
-        kth = np.partition(upper, n - k - 1)[n - k - 1] if n > k + 1 else upper.min()
-        return self._best(np.flatnonzero(upper >= kth - slack), weights, own, k)
+        w = weights[self.dim]
+        floor_ = np.where(weights > 0, self.low[self.first], np.maximum.reduceat(self.high, self.first))
+        impact = w * (np.where(w > 0, self.high, self.low) - floor_[self.dim])
+        # members of a segment may fall short of its impact by this much, in each dimension at worst
+        slack = int(np.maximum.reduceat(np.abs(w) * (self.high - self.low), self.first).sum())
+        sizes = np.diff(self.start)
+        order = np.argsort(-impact, kind="stable")
+        order = order[impact[order] > 0]
+        done = np.cumsum(sizes[order])
+        bounds = np.unique(np.searchsorted(done, done[-1] * np.arange(1, BANDS + 1) / BANDS, side="left") + 1) if len(order) else []
+        collected = np.zeros(n)
+        rest = impact.copy()
+        at = 0
+        possible = np.arange(n)
+        for to in bounds:
+            # the next segments by falling impact; those of one dimension lie side by side
+            band = np.sort(order[at:to])
+            runs = np.flatnonzero(np.diff(band) > 1) + 1
+            heads, tails = band[np.concatenate([[0], runs])], band[np.concatenate([runs - 1, [len(band) - 1]])]
+            members = np.concatenate([self.postings[self.start[a] : self.start[b + 1]] for a, b in zip(heads.tolist(), tails.tolist())])
+            collected += np.bincount(members, np.repeat(impact[band].astype(np.float64), sizes[band]), n)
+            rest[band] = 0
+            at = to
+            # proof: what is collected, less the slack, is a lower bound, as no impact is negative; with the next
+            # impact of every list it is an upper one
+            left = int(np.maximum.reduceat(rest, self.first).sum())
+            kth = np.partition(collected, n - k - 1)[n - k - 1]
+            possible = np.flatnonzero(collected + left >= kth - slack)
+            if len(possible) <= max(4 * k, n // 16):
+                break
+        return self._best(possible, weights, own, k)
 
     def _best(self, members: np.ndarray, weights: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Exact scores of the members that may belong to the result, the k best of them."""
