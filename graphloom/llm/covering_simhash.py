@@ -19,7 +19,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import map_arrow
@@ -153,18 +153,23 @@ def links(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Data
     return dealt.mapInArrow(_linker(radius), "src long, dst long").distinct()
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row of ``docs``; fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, digest: bool = False) -> DataFrame:
+    """(doc_id, fp) of every row of ``docs``, and the text's SHA-256 if asked for; fp is the fingerprint as a signed long."""
 
     def make():
         def each(batch: pa.RecordBatch) -> dict:
             values = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64)
-            return {"doc_id": batch.column(0), "fp": values.view(np.int64)}
+            return {"doc_id": batch.column(0), "fp": values.view(np.int64)} | ({"digest": batch.column(2)} if digest else {})
 
         return each
 
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_arrow(plain, "doc_id long, fp long", make, ["doc_id", "text"])
+    more = [_digest().alias("digest")] if digest else []
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+    return map_arrow(plain, "doc_id long, fp long" + ", digest binary" * digest, make, plain.columns)
+
+
+def _digest() -> Column:
+    return F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -181,11 +186,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep(docs: DataFrame) -> DataFrame:
     """One row of ``docs``, with all its columns, for each group of near duplicates.
 
-    The row with the smallest id stays (rows without any id: one of them); if it is repeated, one
-    of its rows stays.
+    The row with the smallest id stays, rows without an id coming last; an id that is repeated or
+    missing is told apart by its text, so unrelated texts that share it stay each. If a row is
+    repeated, one of its rows stays.
     """
-    groups, _ = materialize(near_duplicates(docs).distinct(), "simhash-groups")
-    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("_key"), F.col("doc_id").isNull().alias("_none")]
-    stays = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*key).distinct()
+    prints, _ = materialize(fingerprints(docs, digest=True), "simhash-prints")
+    order = F.struct(F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("_key"), F.col("digest").alias("_digest"))
+    distinct, _ = materialize(prints.groupBy("fp").agg(F.min(order).alias("first")), "simhash-distinct")
+    parts = connected_components(links(distinct.select("fp")))
+    group = distinct.join(parts.select(F.col("vertex").alias("fp"), "component"), "fp", "left").groupBy(F.coalesce("component", "fp"))
+    stays, _ = materialize(group.agg(F.min("first").alias("first")).select("first.*"), "simhash-stays")
+    key = ["_key", "_none", "_digest"]
+    keyed = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("_key"), F.col("doc_id").cast("long").isNull().alias("_none"), _digest().alias("_digest"))
     # the sort of the join serves dropDuplicates too: the texts are shuffled once
-    return docs.select("*", *key).join(stays, ["_key", "_none"], "left_semi").dropDuplicates(["_key", "_none"]).select(*docs.columns)
+    return keyed.join(stays, key, "left_semi").dropDuplicates(key).select(*docs.columns)

@@ -412,6 +412,20 @@ def test_prints(spark, odd):
     assert kept.schema == odd.schema and sorted(r.doc_id for r in kept.collect()) == [0, 3, 4, 5, 6, 7]
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Ids that are missing or repeated don't tie unrelated texts together; near copies still go."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(400)]
+    a, b, c, d, e, f = (" ".join(rng.choices(words, k=300)) for _ in range(6))
+    near = d.upper() + "  "  # the same fingerprint, another text
+    rows = [(None, a), (None, b), (None, b), (None, c), (None, near), (1, d), (5, d), (5, e), (5, f), (5, f), (7, None), (7, ""), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    kept = covering_simhash.keep(docs)
+    got = Counter((r.doc_id, r.text or "") for r in kept.collect())
+    assert kept.schema == docs.schema
+    assert got == Counter([(None, a), (None, b), (None, c), (1, d), (5, e), (5, f), (7, "")])
+
+
 @pytest.mark.parametrize("bucket", [4, 2048])
 def test_links_connect_all_close_prints(spark, bucket):
     rng = random.Random(4)
