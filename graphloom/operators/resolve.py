@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import names, similarity
 from graphloom.functions.vocab import IDENTIFIERS
 from graphloom.operators.components import connected_components
+from graphloom.session import materialize, release
 
 #: Members of a block that is compared, and the scores that accept a pair.
 MAX_BLOCK, ACCEPT, NEAR_WINKLER, NEAR_LEVENSHTEIN = 400, 0.88, 0.05, 0.10
@@ -63,3 +64,24 @@ def mutual_best(scored: DataFrame) -> DataFrame:
     ends = scored.select(F.inline(F.array(F.struct(F.col("a").alias("k"), "a", "b", "score"), F.struct(F.col("b").alias("k"), "a", "b", "score"))))
     best = ends.groupBy("k").agg(F.min_by(F.struct("a", "b", "score"), F.struct(-F.col("score"), "a", "b")).alias("p"))
     return best.select("p.a", "p.b", "p.score").groupBy("a", "b", "score").agg(F.count("*").alias("n")).where("n = 2").select("a", "b", "score")
+
+
+def greedy_matching(accepted: DataFrame) -> DataFrame:
+    """All pairs that a greedy choice takes, strongest first, ties by keys; each key is claimed once.
+
+    Rounds of ``mutual_best`` until no pair with two free keys is left.
+    """
+    spark = accepted.sparkSession
+    rest, rest_path = materialize(accepted.select("a", "b", "score").where("a <> b"), "match-rest")
+    taken = None
+    while not rest.isEmpty():
+        best, _ = materialize(mutual_best(rest), "match-best")
+        taken = best if taken is None else taken.unionAll(best)
+        claimed = best.select(F.explode(F.array("a", "b")).alias("k"))
+        free = rest
+        for side in ("a", "b"):
+            free = free.join(claimed.withColumnRenamed("k", side), side, "left_anti")
+        left, left_path = materialize(free.select("a", "b", "score"), "match-rest")
+        release(spark, rest_path)
+        rest, rest_path = left, left_path
+    return rest if taken is None else taken

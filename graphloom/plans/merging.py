@@ -156,7 +156,7 @@ def g33_resolution_classes(spark, d):
 @query()
 def w03_mutual_best(spark, d):
     rows = _suppliers(spark, d)
-    return resolve.mutual_best(resolve.score_pairs(resolve.blocked_pairs(rows), rows)).select("a", "b", F.round("score", 6).alias("score"))
+    return resolve.greedy_matching(resolve.decide(resolve.score_pairs(resolve.blocked_pairs(rows), rows))).select("a", "b", F.round("score", 6).alias("score"))
 
 
 @query(

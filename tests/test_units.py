@@ -179,3 +179,14 @@ def test_protected_pairs_see_every_line(spark, tmp_path):
     spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {tuple(r) for r in g36_protected_pairs(spark, str(tmp_path)).collect()}
     assert got == {(1, 4), (2, 3), (3, 4)}
+
+
+def test_matching_goes_on_until_no_pair_is_left(spark, monkeypatch):
+    from graphloom.operators import resolve
+    from graphloom.plans.merging import w03_mutual_best
+
+    pairs = [("A", "B", 0.99, 0.99, 0.99), ("B", "C", 0.98, 0.98, 0.98), ("C", "D", 0.95, 0.95, 0.95), ("E", "F", 0.5, 0.5, 0.5)]
+    scored = spark.createDataFrame(pairs, "a string, b string, jaro_winkler double, levenshtein double, score double")
+    monkeypatch.setattr(resolve, "score_pairs", lambda *_: scored)
+    got = {tuple(r) for r in w03_mutual_best(spark, "/root/testdata/sf0.001").collect()}
+    assert got == {("A", "B", 0.99), ("C", "D", 0.95)}
