@@ -6,7 +6,7 @@ numbers) and flattened into arrays, which score whole Arrow batches by vectorise
 Defined cases: a null or empty text has statistics of zero and is scored like any other; ties and
 repeated rows score alike; an empty table gives an empty result; with no usable label every score is
 0.5, with labels of one class only that class's smoothed share. Columns other than the id and the
-text are never read.
+text are never read, whatever their names; ``keep`` returns them as they are. Ids are whole numbers.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import fold_of, labelled, labelled_texts, map_arrow, slices
+from graphloom.llm.common import fold_of, labelled, labelled_texts, map_arrow, text_score
 
 FEATURES = (
     "log_bytes", "log_words", "mean_word", "upper", "digit", "space", "newline", "symbol", "bang", "stop_mark",
@@ -170,8 +170,8 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, target: str =
     return fit(x, np.array([r.y for r in rows], float))
 
 
-def _scores(forest: Forest, texts: pa.Array) -> np.ndarray:
-    return forest.predict(np.stack([statistics(t) for t in texts.to_pylist()]))
+def _scores(forest: Forest, texts: list[str | None]) -> np.ndarray:
+    return forest.predict(np.stack([statistics(t) for t in texts]))
 
 
 def score(docs: DataFrame, forest: Forest, threshold: float = 0.3) -> DataFrame:
@@ -180,7 +180,7 @@ def score(docs: DataFrame, forest: Forest, threshold: float = 0.3) -> DataFrame:
 
     def make():
         def each(batch: pa.RecordBatch) -> dict:
-            return {"doc_id": batch.column(0), "score": _scores(shared.value, batch.column(1))}
+            return {"doc_id": batch.column(0), "score": _scores(shared.value, batch.column(1).to_pylist())}
 
         return each
 
@@ -193,10 +193,4 @@ def score(docs: DataFrame, forest: Forest, threshold: float = 0.3) -> DataFrame:
 def keep(docs: DataFrame, forest: Forest, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs``, with all their columns, that score ``threshold`` at least."""
     shared = docs.sparkSession.sparkContext.broadcast(forest)
-
-    def run(batches):
-        for whole in batches:
-            for batch in slices(whole):
-                yield batch.filter(pa.array(_scores(shared.value, batch.column("text")) >= threshold))
-
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(text_score(lambda: lambda texts: _scores(shared.value, texts).tolist())(docs["text"]) >= threshold)

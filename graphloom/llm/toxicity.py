@@ -6,9 +6,14 @@ from labelled documents; a match counts at the start of a word and, for whole te
 Matches inside an exception phrase are dropped. The weight of what matched is normalised by the
 length of the text and calibrated by a logistic curve.
 
+What is learnt is bounded by parameters, not by the corpus: ``MAX_LABELLED`` labelled documents and the
+``MAX_TERMS`` entries that explain most of their toxic texts. A term that explains fewer than
+``least`` of them (three, or one in two hundred) isn't learnt, however often other texts hold it.
+
 Defined cases: a null or empty text matches nothing and gets the score of such texts; ties between
 terms go to the smaller term; repeated rows score alike; an empty table gives an empty result; with no
-usable label the seed list and a fixed curve score. Columns other than id and text are never read.
+usable label the seed list and a fixed curve score. Columns other than id and text are never read,
+whatever their names; ``keep`` returns them as they are. Ids are whole numbers.
 """
 
 from __future__ import annotations
@@ -24,7 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import fold_of, labelled, labelled_texts, map_arrow, slices
+from graphloom.llm.common import fold_of, labelled, labelled_texts, map_arrow, text_score
+from graphloom.session import materialize
 
 FOLDS, HELD = 4, 2
 #: Plain insults in English, with the weight they have without any label.
@@ -179,19 +185,22 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, target: str =
     before it leave with fewer than four matches.
     """
     sample = labelled(spark, labels, target, FOLDS, HELD)
-    texts = labelled_texts(docs, sample).groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    # written once: what follows reads the sample, not the corpus
+    texts, _ = materialize(labelled_texts(docs, sample).groupBy("doc_id", "y").agg(F.min("text").alias("text")), "toxic-sample")
     # of copies, and of near copies that share both sketches, one text stays
     marked = map_arrow(
         texts, "doc_id long, y int, text string, a long, b long", lambda: _with_sketches, ["doc_id", "y", "text"]
     )
-    one = marked.groupBy("y", "a", "b").agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("d")).select("d.doc_id", "y", "d.text")
+    one, _ = materialize(
+        marked.groupBy("y", "a", "b").agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("d")).select("d.doc_id", "y", "d.text"), "toxic-distinct"
+    )
     totals = {r.y: r.n for r in one.groupBy("y").agg(F.count("*").alias("n")).collect()}
     positives, negatives = totals.get(1, 0), totals.get(0, 0)
     lexicon = Lexicon()
     if not positives or not negatives:
         return lexicon
     counted = map_arrow(one, "entry string, toxic long, clean long", _counts, ["doc_id", "y", "text"])
-    summed = counted.groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    summed, _ = materialize(counted.groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "toxic-entries")
     least = max(3, positives // 200)
     rate = (F.col("toxic") / positives) / ((F.col("clean") + 0.5) / (negatives + 1))
     ranked = summed.where(F.col("toxic") >= least).where((rate >= 50) | ((F.col("clean") == 0) & (rate >= 10)))
@@ -284,10 +293,8 @@ def keep(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -> DataFrame
     """The rows of ``docs``, with all their columns, that score below ``threshold``."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
-    def run(batches):
+    def make():
         scores = shared.value.scorer()
-        for whole in batches:
-            for batch in slices(whole):
-                yield batch.filter(pa.array(scores(batch.column("text").to_pylist()) < threshold))
+        return lambda texts: scores(texts).tolist()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(text_score(make)(docs["text"]) < threshold)
