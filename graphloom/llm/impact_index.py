@@ -4,14 +4,21 @@ Vectors are packed into blocks. In a block, each dimension has two lists of post
 falling and one by rising value: a segment holds the members whose value falls in one quantised step,
 and all of them get the same impact. A query's impacts are its component times the segment's
 distance from the far end of the list, so none is negative. Segments are processed by descending
-impact, a band of them at a time, until the k-th best lower bound proves that no member that isn't
-within reach can enter; the members that may are scored exactly. Where the proof never comes, all segments are used up: the
-result is the same.
+impact, an eighth of the postings at a time, until a lower bound of the k-th best score proves that the members
+that can still enter are so few that scoring them exactly is less than what is left of the lists. Every query is searched in one block first, and the
+k-th score found there is such a lower bound in all others. Where the proof never comes, all segments are used up: the
+result is the same. On dense vectors without clusters that is the usual case: the bounds of many
+dimensions together are loose, and the index then does more work than plain products would.
+
+The index is shuffled once. Queries are sent to every block, so what is moved is the index and the
+queries times the blocks, and work is that of the stated query set against all rows.
 
 Defined cases: vectors that are null or hold a null or non-finite component take no part; vectors of
-unequal length are compared as if padded with zeros; vec_id is a key (of rows that repeat one the
-smallest vector counts, rows with a null id are left out); ties go to the smaller vec_id; queries with
-fewer than k candidates get all; an empty table gives an empty result. Scores are 64-bit integers.
+unequal length are compared as if padded with zeros; rows with a null id take no part; every row that repeats a
+vec_id is a member, none of them is a candidate of a query with that id, and of rows that make one query the
+smallest vector counts; ties go to the smaller vec_id; queries with fewer than k candidates get all; an empty
+table gives an empty result. Scores are 64-bit integers. Columns other than vec_id and embedding are never
+read, whatever their names. Ids are whole numbers.
 """
 
 from __future__ import annotations
@@ -20,17 +27,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import reach
 from graphloom.session import materialize
 
 SCALE, K, EVERY = 64, 20, 20
 #: Members of an index block, queries of a query block, and quantised steps of a list at most.
 BLOCK, QUERIES, STEPS = 16_384, 1_024, 256
 #: Bands in which a query's segments are used up, a proof being tried after each.
-BANDS = 4
+BANDS = 8
 #: Floats below which products and sums of whole numbers are exact.
 _EXACT = float(2**53)
 
@@ -53,6 +62,9 @@ class Index:
     high: np.ndarray
     first: np.ndarray
     floats: np.ndarray
+    #: Postings that the searches so far used, of those that they could have.
+    used: int = 0
+    asked: int = 0
 
     @classmethod
     def build(cls, ids: np.ndarray, vectors: np.ndarray) -> Index:
@@ -75,15 +87,24 @@ class Index:
             np.concatenate([*low, empty]), np.concatenate([*high, empty]), np.array(first, np.int64), vectors.astype(np.float64),
         )
 
-    def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k best (ids, scores) of the block for one query, without the member ``own``."""
+    def search(self, query: np.ndarray, own: int, k: int, least: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The k best (ids, scores) of the block for one query, without members called ``own``.
+
+        ``least`` is a score that the k-th best of all blocks reaches; members below it may be left out.
+        """
         n = len(self.ids)
         weights = query.astype(np.int64)
+        self.asked += len(self.postings)
         if not weights.any() or n <= 4 * k:  # every score is zero, or every member may belong
-            return self._best(np.arange(n), weights, own, k)
+            self.used += len(self.postings)
+            return self._best(np.arange(n), weights, own, k, least)
         w = weights[self.dim]
         floor_ = np.where(weights > 0, self.low[self.first], np.maximum.reduceat(self.high, self.first))
         impact = w * (np.where(w > 0, self.high, self.low) - floor_[self.dim])
+        # the same for what is known to be reached: scores count from that of the lists' far ends
+        bar = None if least is None else least - int(weights @ floor_)
+        if bar is not None and int(np.maximum.reduceat(impact, self.first).sum()) < bar:
+            return self._best(np.arange(0), weights, own, k, least)  # the first segments together are too little
         # members of a segment may fall short of its impact by this much, in each dimension at worst
         slack = int(np.maximum.reduceat(np.abs(w) * (self.high - self.low), self.first).sum())
         sizes = np.diff(self.start)
@@ -95,6 +116,7 @@ class Index:
         rest = impact.copy()
         at = 0
         possible = np.arange(n)
+        spare = int((self.ids == own).sum())  # these don't count towards the k
         for to in bounds:
             # the next segments by falling impact; those of one dimension lie side by side
             band = np.sort(order[at:to])
@@ -102,22 +124,27 @@ class Index:
             heads, tails = band[np.concatenate([[0], runs])], band[np.concatenate([runs - 1, [len(band) - 1]])]
             members = np.concatenate([self.postings[self.start[a] : self.start[b + 1]] for a, b in zip(heads.tolist(), tails.tolist())])
             collected += np.bincount(members, np.repeat(impact[band].astype(np.float64), sizes[band]), n)
+            self.used += len(members)
             rest[band] = 0
             at = to
             # proof: what is collected, less the slack, is a lower bound, as no impact is negative; with the next
             # impact of every list it is an upper one
             left = int(np.maximum.reduceat(rest, self.first).sum())
-            kth = np.partition(collected, n - k - 1)[n - k - 1]
-            possible = np.flatnonzero(collected + left >= kth - slack)
-            if len(possible) <= max(4 * k, n // 16):
-                break
-        return self._best(possible, weights, own, k)
-
-    def _best(self, members: np.ndarray, weights: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+            kth = bar
+            if bar is None:
+                kth = np.partition(collected, n - k - spare)[n - k - spare] - slack if n > k + spare else 0
+            possible = np.flatnonzero(collected + left >= kth)
+            if len(possible) * len(self.first) <= int(done[-1] - done[min(at, len(done)) - 1]):
+                break  # scoring these exactly is no more than what the segments left hold
+        return self._best(possible, weights, own, k, least)
+
+    def _best(self, members: np.ndarray, weights: np.ndarray, own: int, k: int, least: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Exact scores of the members that may belong to the result, the k best of them."""
         members = members[self.ids[members] != own]
         # whole numbers below 2**53 in floats: products and sums are exact, and fast
         scores = (self.floats[members] @ weights.astype(np.float64)).astype(np.int64)
+        if least is not None:
+            members, scores = members[scores >= least], scores[scores >= least]
         order = np.lexsort((self.ids[members], -scores))[:k]
         return self.ids[members][order], scores[order]
 
@@ -128,68 +155,80 @@ def whole_numbers(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     usable = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), component.alias("e")).where(
         F.col("vec_id").isNotNull() & F.col("e").isNotNull() & ~F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     )
-    one = usable.groupBy("vec_id").agg(F.min("e").alias("e"))
-    return one.select("vec_id", F.transform("e", lambda x: F.floor(x * scale).cast("long")).alias("v"))
+    return usable.select("vec_id", F.transform("e", lambda x: F.floor(x * scale).cast("long")).alias("v"))
+
+
+def _narrow(rows: np.ndarray) -> np.ndarray:
+    """The same numbers in the smallest signed type that holds them all."""
+    for kind in (np.int8, np.int16, np.int32):
+        if not rows.size or (rows.min() >= np.iinfo(kind).min and rows.max() <= np.iinfo(kind).max):
+            return rows.astype(kind)
+    return rows
 
 
 def _pack(most: int):
-    """Pack the rows of a task into blocks: ids and numbers as bytes, in pieces of ``most`` rows."""
+    """Pack a task's rows (vec_id, v, least, no) into blocks: ``most`` rows at most, all of one ``no``."""
+
+    def block(rows: list[dict], made: int) -> pa.RecordBatch:
+        width = max(len(r["v"]) for r in rows)
+        packed = np.zeros((len(rows), width), np.int64)
+        for i, r in enumerate(rows):
+            packed[i, : len(r["v"])] = r["v"]
+        number = (TaskContext.get().partitionId() << 32) + made
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([number]), pa.array([len(rows)], pa.int32()), pa.array([width], pa.int32()), pa.array([np.array([r["vec_id"] for r in rows], np.int64).tobytes()], pa.binary()),
+                pa.array([_narrow(packed).tobytes()], pa.binary()), pa.array([[r["least"] for r in rows]], pa.list_(pa.int64())), pa.array([rows[0]["no"]], pa.int32()),
+            ],
+            names=["block", "n", "d", "ids", "rows", "least", "no"],
+        )
 
     def run(batches):
-        ids: list[np.ndarray] = []
-        rows: list[list[int]] = []
-
-        def block(some_ids, some_rows):
-            width = max(map(len, some_rows), default=0)
-            packed = np.zeros((len(some_rows), width), np.int64)
-            for i, row in enumerate(some_rows):
-                packed[i, : len(row)] = row
-            return pa.RecordBatch.from_arrays(
-                [pa.array([int(some_ids[0])]), pa.array([len(some_rows)], pa.int32()), pa.array([some_ids.tobytes()], pa.binary()), pa.array([packed.tobytes()], pa.binary())],
-                names=["block", "n", "ids", "rows"],
-            )
-
-        for batch in batches:
-            ids.append(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
-            rows += batch.column(1).to_pylist()
-            while len(rows) >= most:
-                together = np.concatenate(ids)
-                yield block(together[:most], rows[:most])
-                ids, rows = [together[most:]], rows[most:]
+        rows: list[dict] = []
+        made = 0
+        for row in (row for batch in batches for row in batch.to_pylist()):
+            if rows and (len(rows) == most or rows[0]["no"] != row["no"]):
+                yield block(rows, made)
+                rows, made = [], made + 1
+            rows.append(row)
         if rows:
-            yield block(np.concatenate(ids), rows)
+            yield block(rows, made)
 
     return run
 
 
-_PACKED = "block long, n int, ids binary, rows binary"
+_PACKED = "block long, n int, d int, ids binary, rows binary, least array<long>, no int"
+_FOUND = "query_id long, vec_id long, score long"
 
 
-def _unpack(n: int, ids: bytes, rows: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, np.int64), np.frombuffer(rows, np.int64).reshape(n, -1)
+def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    cells = row["n"] * row["d"]
+    kind = np.dtype(f"i{len(row['rows']) // cells}") if cells else np.dtype(np.int64)
+    return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["rows"], kind).astype(np.int64).reshape(row["n"], row["d"])
 
 
 def _search(k: int):
+    """Over rows sorted by block, the index's own row first: the k best members for each query."""
+
     def run(batches):
         index, held = None, None
         for batch in batches:
             for row in batch.to_pylist():
-                if held != row["block"]:
-                    ids, vectors = _unpack(row["n"], row["ids"], row["rows"])
-                    index, held = Index.build(ids, vectors), row["block"]
-                own, queries = _unpack(row["q_n"], row["q_ids"], row["q_rows"])
-                large = max(1, queries.shape[1]) * int(np.abs(queries).max(initial=0)) * int(np.abs(index.vectors).max(initial=0)) >= _EXACT
-                if large and isinstance(index, Index):  # beyond exact machine arithmetic
-                    index = _Plain(index.ids, index.vectors)
-                elif not large and isinstance(index, _Plain):
-                    index = Index.build(index.ids, index.vectors)
+                numbers, vectors = _unpack(row)
+                if row["turn"] < 0:
+                    index, held = Index.build(numbers, vectors), row["no"]
+                    continue
+                if held != row["no"]:
+                    raise ValueError(f"queries came to block {row['no']} before its vectors")
+                large = max(1, vectors.shape[1]) * int(np.abs(vectors).max(initial=0)) * int(np.abs(index.vectors).max(initial=0)) >= _EXACT
+                engine = _Plain(index.ids, index.vectors) if large else index  # beyond exact machine arithmetic
                 width = index.vectors.shape[1]
-                shared = min(width, queries.shape[1])
+                shared = min(width, vectors.shape[1])
                 out: list[tuple[int, np.ndarray, np.ndarray]] = []
-                for q, vector in zip(own.tolist(), queries):
+                for q, vector, least in zip(numbers.tolist(), vectors, row["least"]):
                     full = np.zeros(width, np.int64)
                     full[:shared] = vector[:shared]
-                    found, scores = index.search(full, q, k)
+                    found, scores = engine.search(full, q, k, least)
                     out.append((q, found, scores))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -209,34 +248,48 @@ class _Plain:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
 
-    def search(self, query: np.ndarray, own: int, k: int):
+    def search(self, query: np.ndarray, own: int, k: int, least: int | None = None):
         scores = [sum(int(a) * int(b) for a, b in zip(row, query)) for row in self.vectors]
-        order = sorted((i for i in range(len(scores)) if self.ids[i] != own), key=lambda i: (-scores[i], self.ids[i]))[:k]
+        fit = (i for i in range(len(scores)) if self.ids[i] != own and (least is None or scores[i] >= least))
+        order = sorted(fit, key=lambda i: (-scores[i], self.ids[i]))[:k]
         return self.ids[order], [scores[i] for i in order]
 
 
+def _meet(index: DataFrame, queries: DataFrame, count: int, k: int) -> DataFrame:
+    """Search packs of queries (with ``no``, the block they go to): a block's vectors and its queries come to one task."""
+    rows = index.withColumn("turn", F.lit(-1).cast("long")).unionByName(queries.withColumn("turn", F.col("block")))
+    dealt = rows.select("no", "turn", "n", "d", "ids", "rows", "least").repartition(count, "no").sortWithinPartitions("no", "turn")
+    return dealt.mapInArrow(_search(k), _FOUND)
+
+
 def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows for each query (vec_id divisible by ``every``).
 
-    Blocks of queries meet blocks of the index, both of bounded size: the work is that of the stated
-    query set, and what is moved is the queries once an index block. Each meeting sends on k rows a
-    query, and a window over the few of one query picks the k best.
+    Blocks and packs of queries are of bounded size. A pack goes to one block first; with the k-th scores
+    found there it goes to all others, which return only members that reach them.
     """
-    numbers, _ = materialize(whole_numbers(vectors, scale), "impact-numbers")
-    n = numbers.count()
-    empty = "query_id long, rank int, vec_id long, score long"
-    if not n:
-        return vectors.sparkSession.createDataFrame([], empty)
-    blocks, _ = materialize(numbers.repartition(max(1, -(-n // BLOCK))).mapInArrow(_pack(BLOCK), _PACKED), "impact-blocks")
-    asked = numbers.where(F.pmod("vec_id", F.lit(every)) == 0)
-    queries = asked.repartition(max(1, -(-n // (every * QUERIES)))).mapInArrow(_pack(QUERIES), _PACKED)
-    queries, _ = materialize(queries.select(*(F.col(c).alias(f"q_{c}") for c in ("block", "n", "ids", "rows"))), "impact-queries")
-    # every query block is sent to every index block by its number: rows here are whole blocks
-    numbered = blocks.select("block").withColumn("no", F.row_number().over(W.orderBy("block")) - 1)
-    count = numbered.count()
-    sent = queries.withColumn("no", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    met = blocks.join(numbered, "block").join(sent, "no").repartition(max(1, min(4 * count, 2000)), "block", "q_block").sortWithinPartitions("block")
-    found = met.select("block", "n", "ids", "rows", "q_n", "q_ids", "q_rows").mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    spark = reach(vectors.sparkSession)
+    numbers = whole_numbers(vectors, scale)
+    n = vectors.count()
+    unbound = numbers.select("vec_id", "v", F.lit(None).cast("long").alias("least"), F.lit(None).cast("int").alias("no"))
+    packed, _ = materialize(unbound.repartition(max(1, -(-n // BLOCK))).mapInArrow(_pack(BLOCK), _PACKED), "impact-blocks")
+    named = packed.select("block").withColumn("no", F.row_number().over(W.orderBy("block")) - 1)  # one row a block
+    index, _ = materialize(packed.drop("no").join(named, "block"), "impact-index")
+    count = index.count()
+    if not count:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    home = F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int")
+    asked, _ = materialize(numbers.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("no", home), "impact-queries")
+
+    def packs(queries: DataFrame) -> DataFrame:
+        return queries.select("vec_id", "v", "least", "no").repartition(count, "no").sortWithinPartitions("no").mapInArrow(_pack(QUERIES), _PACKED)
+
+    found, _ = materialize(_meet(index, packs(asked.withColumn("least", F.lit(None).cast("long"))), count, k), "impact-found")
+    kth = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
+    bounded, _ = materialize(packs(asked.join(kth, F.col("vec_id") == F.col("query_id"), "left")), "impact-bounded")
+    sent = bounded.withColumnRenamed("no", "home").withColumn("no", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).where("no <> home").drop("home")
+    if count > 1:
+        found = found.unionAll(_meet(index, sent, count, k))
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -246,7 +299,7 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({SCALE}
     WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 p AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
     CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * coalesce(c.v[i], 0))) AS BIGINT) AS score
-    FROM v AS q JOIN v AS c ON q.vec_id % {EVERY} = 0 AND q.vec_id <> c.vec_id)
+    FROM (SELECT vec_id, min(v) AS v FROM v WHERE vec_id % {EVERY} = 0 GROUP BY vec_id) AS q JOIN v AS c ON q.vec_id <> c.vec_id)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= {K}
 """
