@@ -11,7 +11,8 @@ proven bound of 2**16 members and nothing is capped.
 Defined cases: a null text counts as the empty one, whose fingerprint is zero and links like any
 other; rows with a null id take part, and a group without any id has a null component; repeated rows
 come out as often as they go in; an empty table gives an empty result; columns other than the id and
-the text are never read.
+the text are never read, whatever their names, and ``keep`` returns them as they are. Ids are whole
+numbers. A fingerprint or a component that a third of all rows share is joined by ``join_spread``.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import map_arrow
+from graphloom.llm.common import free_names, join_spread, map_arrow
 from graphloom.operators.components import connected_components
 from graphloom.session import materialize
 
@@ -163,24 +164,30 @@ def fingerprints(docs: DataFrame, digest: bool = False) -> DataFrame:
 
         return each
 
-    more = [_digest().alias("digest")] if digest else []
+    more = [_digest(F.col("text")).alias("digest")] if digest else []
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
     return map_arrow(plain, "doc_id long, fp long" + ", digest binary" * digest, make, plain.columns)
 
 
-def _digest() -> Column:
-    return F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+def _digest(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256))
+
+
+def _grouped(distinct: DataFrame, lowest: str) -> DataFrame:
+    """Add to one row a fingerprint (fp, ``lowest``, n) the smallest ``lowest`` of its group, as ``group_low``."""
+    parts = connected_components(links(distinct.select("fp")))
+    first, _ = materialize(distinct.join(parts.select(F.col("vertex").alias("fp"), "component"), "fp", "left"), "simhash-parts")
+    groups = first.where("component IS NOT NULL").groupBy("component").agg(F.min(lowest).alias("group_low"), F.count("*").alias("members"))
+    named = join_spread(first, materialize(groups, "simhash-groups")[0], "component", "members")
+    return named.withColumn("group_low", F.when(F.col("component").isNull(), F.col(lowest)).otherwise(F.col("group_low")))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of ``docs``."""
     prints, _ = materialize(fingerprints(docs), "simhash-prints")
-    distinct, _ = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    parts = connected_components(links(distinct.select("fp")))
-    first = distinct.join(parts.select(F.col("vertex").alias("fp"), "component"), "fp", "left")
-    lowest = first.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("lowest"))
-    named = first.join(lowest, "component", "left").select("fp", F.coalesce("lowest", "first").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    distinct, _ = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "simhash-distinct")
+    named, _ = materialize(_grouped(distinct, "first").select("fp", F.col("group_low").alias("component_id"), "n"), "simhash-named")
+    return join_spread(prints, named, "fp", "n").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep(docs: DataFrame) -> DataFrame:
@@ -191,12 +198,13 @@ def keep(docs: DataFrame) -> DataFrame:
     repeated, one of its rows stays.
     """
     prints, _ = materialize(fingerprints(docs, digest=True), "simhash-prints")
-    order = F.struct(F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("_key"), F.col("digest").alias("_digest"))
-    distinct, _ = materialize(prints.groupBy("fp").agg(F.min(order).alias("first")), "simhash-distinct")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("key"), "digest")
+    distinct, _ = materialize(prints.groupBy("fp").agg(F.min(order).alias("first"), F.count("*").alias("n")), "simhash-distinct")
     parts = connected_components(links(distinct.select("fp")))
     group = distinct.join(parts.select(F.col("vertex").alias("fp"), "component"), "fp", "left").groupBy(F.coalesce("component", "fp"))
-    stays, _ = materialize(group.agg(F.min("first").alias("first")).select("first.*"), "simhash-stays")
-    key = ["_key", "_none", "_digest"]
-    keyed = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("_key"), F.col("doc_id").cast("long").isNull().alias("_none"), _digest().alias("_digest"))
+    key = free_names(docs, "none", "key", "digest")
+    stays, _ = materialize(group.agg(F.min("first").alias("first")).select(*(F.col(f"first.{c}").alias(k) for c, k in zip(("none", "key", "digest"), key))), "simhash-stays")
+    number = docs["doc_id"].cast("long")
+    keyed = docs.select("*", number.isNull().alias(key[0]), F.coalesce(number, F.lit(0).cast("long")).alias(key[1]), _digest(docs["text"]).alias(key[2]))
     # the sort of the join serves dropDuplicates too: the texts are shuffled once
-    return keyed.join(stays, key, "left_semi").dropDuplicates(key).select(*docs.columns)
+    return keyed.join(stays, key, "left_semi").dropDuplicates(key).select(*(docs[c] for c in docs.columns))
