@@ -6,10 +6,13 @@ n-gram likelihoods of all documents of a batch at once, as matrix products; the
 chosen by penalised likelihood: a language leaves the set when that costs less than a penalty that
 grows with the logarithm of the number of n-grams.
 
+Every language that occurs is learnt. The model holds one row of numbers for each, so a column with more
+values than ``MAX_LANGUAGES``, which no list of the world's languages reaches, is an error.
+
 Defined cases: a null text, an empty one or one without a letter is ``und`` with score 0, as is every
 text when no language could be learnt; ties go to the smaller name; repeated rows come out as often as
 they go in; an empty table gives an empty result. Columns other than the text are never read
-for a prediction.
+for a prediction, whatever their names. Ids are whole numbers.
 """
 
 from __future__ import annotations
@@ -24,17 +27,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from graphloom.llm.common import fold_of, map_arrow
+from graphloom.session import materialize
 
 FOLDS, HELD = 4, 2
 #: Hashed n-grams: buckets, lengths in bytes.
 BUCKETS, LENGTHS = 4096, (1, 2, 3)
-#: Documents learnt from for each language, and languages at most (the most frequent ones).
-MAX_DOCS, MAX_LANGUAGES = 2_000, 200
+#: Documents learnt from for each language at most, and distinct values above which a column isn't one of languages.
+MAX_DOCS, MAX_LANGUAGES = 2_000, 10_000
 ITERATIONS, SMOOTHING, PENALTY = 12, 0.5, 4.0
-#: Documents whose proportions are estimated at once, and bytes that are counted at once.
+#: Documents whose proportions are estimated at once, and characters that are counted at once, up to the next space.
 ROWS, STRETCH = 128, 1 << 20
+#: What a document's counts add up to when it is learnt from.
+WEIGHT = 1_000_000
 _LETTER = regex.compile(r"\p{L}")
 _OTHER = regex.compile(r"[^\p{L}\p{M}]+")
+_SPACE = regex.compile(r"\s")
 
 
 def counts(text: str | None) -> np.ndarray | None:
@@ -42,15 +49,22 @@ def counts(text: str | None) -> np.ndarray | None:
     if not text or not _LETTER.search(text):
         return None
     out = np.zeros(BUCKETS, np.int64)
-    for i in range(0, len(text), STRETCH):
-        raw = (" " + _OTHER.sub(" ", text[i : i + STRETCH].lower()).strip() + " ").encode("utf-8", "surrogatepass")
-        codes = np.frombuffer(raw, np.uint8).astype(np.uint32)
+    tail = np.zeros(0, np.uint32)  # the last bytes before a stretch, which its first n-grams begin with
+    start, more = 0, True
+    while more:
+        cut = _SPACE.search(text, start + STRETCH) if len(text) - start > STRETCH else None
+        more = cut is not None
+        letters = _OTHER.sub(" ", text[start : cut.start() if more else None].lower()).strip()
+        start = cut.start() if more else len(text)
+        raw = (" " + letters if letters else "") + ("" if more else " ")
+        codes = np.concatenate([tail, np.frombuffer(raw.encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)])
         rolled = np.zeros(len(codes), np.uint32)
         for n in range(1, max(LENGTHS) + 1):
-            rolled = rolled[: len(codes) - n + 1] * np.uint32(257) + codes[n - 1 :]
+            rolled = rolled[: max(0, len(codes) - n + 1)] * np.uint32(257) + codes[n - 1 :]
             if n in LENGTHS:
-                mixed = (rolled + np.uint32(n)) * np.uint32(2654435761)
+                mixed = (rolled[max(0, len(tail) - n + 1) :] + np.uint32(n)) * np.uint32(2654435761)
                 out += np.bincount(mixed >> np.uint32(20), minlength=BUCKETS)
+        tail = codes[max(0, len(codes) - max(LENGTHS) + 1) :]
     return out
 
 
@@ -108,49 +122,57 @@ def learn(docs: DataFrame) -> Languages:
     """Learn from documents with a language outside the held-out fold.
 
     At most ``MAX_DOCS`` documents a language, in the order of a hash of the id, each by its whole
-    text; every document weighs alike, however long.
+    text; every document weighs alike, however long. Texts are read once, for the sample that is written.
     """
-    spark = docs.sparkSession
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(
-        F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_of(F.col("doc_id"), FOLDS) != HELD)
+        F.col("lang").isNotNull() & (fold_of(F.col("doc_id"), FOLDS) != HELD)
     )
-    tally = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    sizes = {r.lang: r.n for r in tally.collect()}
-    if not sizes:
+    tally = known.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(tally) > MAX_LANGUAGES:
+        raise ValueError(f"the column lang has more than {MAX_LANGUAGES} values")
+    if not tally:
         return Languages([], np.zeros((0, BUCKETS)))
     # a hash threshold takes about half as many again as are wanted, so the exact choice sorts a bounded number
-    chance = F.create_map(*(x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, 1.5 * MAX_DOCS / n)))))
+    chance = docs.sparkSession.createDataFrame([(r.lang, min(1.0, 1.5 * MAX_DOCS / r.n)) for r in tally], "lang string, chance double")
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    near = known.where(F.col("lang").isin(*sizes)).where(spread <= F.element_at(chance, F.col("lang")))
-    ranked = near.select("doc_id", "lang").distinct().withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")))
-    picked = ranked.where(F.col("rank") <= MAX_DOCS).select("doc_id", "lang")  # MAX_DOCS * MAX_LANGUAGES rows at most
-    sample = near.join(F.broadcast(picked), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.max("text").alias("text"))
-    names = sorted(sizes)
+    near = known.where("text IS NOT NULL").join(F.broadcast(chance), "lang").where(spread <= F.col("chance"))
+    near, _ = materialize(near.groupBy("doc_id", "lang").agg(F.max("text").alias("text")), "language-sample")
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    picked = near.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= MAX_DOCS).drop("rank")
+    sample = near.join(picked, [near["lang"] == picked["lang"], near["doc_id"].eqNullSafe(picked["doc_id"])], "left_semi")
+    names = sorted(r.lang for r in tally)
     place = {k: i for i, k in enumerate(names)}
+    schema = "at int, sums array<long>"
+
+    def sent(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(list(sums.values()), pa.list_(pa.int64()))], names=["at", "sums"])
 
-    def run(batches):
-        sums = np.zeros((len(names), BUCKETS))
+    def count(batches):
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = counts(text)
-                if found is not None:
-                    sums[place[lang]] += found / found.sum() * 1000
-        rows = np.flatnonzero(sums.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), pa.array(list(sums[rows]), pa.list_(pa.float64()))], names=["at", "sums"])
+                if found is not None:  # whole numbers, so that sums don't depend on the order
+                    sums[place[lang]] = sums.get(place[lang], 0) + found * WEIGHT // found.sum()
+        yield sent(sums)
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                sums[at] = sums.get(at, 0) + part.values.to_numpy()
+        yield sent(sums)
 
-    sums = np.zeros((len(names), BUCKETS))
-    # one row a task and language; tasks are few, as the sample is bounded
-    parts = sample.select("lang", "text").repartition(8, "lang").mapInArrow(run, "at int, sums array<double>")
-    for row in parts.toLocalIterator():
-        sums[row.at] += row.sums
-    seen = np.flatnonzero(sums.any(1))
-    rates = sums[seen] + SMOOTHING
-    return Languages([names[i] for i in seen], rates / rates.sum(1, keepdims=True))
+    # one row a task and language, then one a language
+    parts = sample.select("lang", "text").mapInArrow(count, schema).repartition("at").mapInArrow(add, schema).collect()
+    found = sorted((r.at, r.sums) for r in parts)
+    rates = np.array([r for _, r in found], float).reshape(len(found), BUCKETS) * 1000 / WEIGHT + SMOOTHING
+    return Languages([names[i] for i, _ in found], rates / rates.sum(1, keepdims=True))
 
 
 def identify(docs: DataFrame, languages: Languages) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(languages)  # MAX_LANGUAGES * BUCKETS numbers at most
+    shared = docs.sparkSession.sparkContext.broadcast(languages)  # languages times BUCKETS numbers
 
     def make():
         def each(batch: pa.RecordBatch) -> dict:
