@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Steps of a logarithm's unit.
+GRAIN = 1e10
+
+
 def clamp01(value: Column) -> Column:
     """Into 0..1; null and NaN become 0."""
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.nanvl(value, F.lit(0.0)), F.lit(0.0))))
@@ -19,12 +23,25 @@ def compose(source_weight: Column, method: Column, evidence: Column) -> Column:
 
 def noisy_or(a: Column, b: Column) -> Column:
     """Probability that one of two independent observations holds, six digits."""
-    return F.round(1 - (1 - clamp01(a)) * (1 - clamp01(b)), 6)
+    return F.round(1 - F.exp((_grain(a) + _grain(b)) / GRAIN), 6)
+
+
+def _grain(value: Column) -> Column:
+    """The logarithm of the probability that an observation doesn't hold, in whole steps."""
+    return F.round(F.log(F.greatest(1 - clamp01(value), F.lit(1e-12))) * GRAIN).cast("long")
 
 
 def noisy_or_all(value: Column) -> Column:
-    """Aggregate: the same for any number of observations, rounded once."""
-    return F.round(1 - F.product(1 - clamp01(value)), 6)
+    """Aggregate: the same for any number of observations, rounded once.
+
+    Logarithms are added as whole numbers, so the result doesn't depend on the order of the rows.
+    """
+    return F.round(1 - F.exp(F.sum(_grain(value)) / GRAIN), 6)
+
+
+def noisy_or_sql(value: str) -> str:
+    """``noisy_or_all`` in DuckDB's SQL."""
+    return f"round(1 - exp(sum(CAST(round(ln(greatest(1 - {value}, 1e-12::DOUBLE)) * {GRAIN:.0f}) AS BIGINT)) / {GRAIN:.0f}::DOUBLE), 6)"
 
 
 def strength(weight: Column, confidence: Column) -> Column:

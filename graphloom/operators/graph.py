@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -280,9 +280,13 @@ def _spread(nodes: DataFrame, links: DataFrame, source: str, target: str) -> Dat
             return labels
 
 
-def blend(parts: dict[str, tuple[Column, float]]) -> Column:
-    """Weighted mean of columns, each divided by its largest value; six digits."""
-    whole = W.partitionBy()
-    total = sum(w for _, w in parts.values())
-    share = [F.lit(w / total) * F.coalesce(c / F.nullif(F.max(c).over(whole), F.lit(0.0)), F.lit(0.0)) for c, w in parts.values()]
-    return F.round(sum(share[1:], share[0]), 6)
+#: The weights of rank, betweenness and incoming control in a node's score.
+BLEND = {"pagerank": 0.5, "betweenness": 0.3, "in_degree": 0.2}
+
+
+def blend(nodes: DataFrame, weights: dict[str, float] = BLEND, name: str = "score") -> DataFrame:
+    """Add the weighted mean of some columns, each divided by its largest value; rounded once, to six digits."""
+    most = nodes.agg(*(F.max(c).alias(f"most_{c}") for c in weights))  # one row
+    total = sum(weights.values())
+    share = [F.lit(w / total) * F.coalesce(F.col(c) / F.nullif(F.col(f"most_{c}"), F.lit(0.0)), F.lit(0.0)) for c, w in weights.items()]
+    return nodes.crossJoin(F.broadcast(most)).select(*nodes.columns, F.round(sum(share[1:], share[0]), 6).alias(name))

@@ -85,3 +85,28 @@ def greedy_matching(accepted: DataFrame) -> DataFrame:
         release(spark, rest_path)
         rest, rest_path = left, left_path
     return rest if taken is None else taken
+
+
+def pairs_in_blocks(rows: DataFrame, most: int = MAX_BLOCK) -> DataFrame:
+    """(a, b) of rows (key, block, entity_type): pairs inside a block of ``most`` rows at most whose types agree or are unknown."""
+    sizes = rows.groupBy("block").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("n") <= most))
+    small = rows.join(sizes, "block")
+    a, b = (small.select("block", F.col("key").alias(x), F.col("entity_type").alias(f"{x}_type")) for x in "ab")
+    free = (F.col("a_type") == F.col("b_type")) | (F.col("a_type") == "") | (F.col("b_type") == "")
+    return a.join(b, "block").where((F.col("a") < F.col("b")) & free).select("a", "b").distinct()
+
+
+#: Nodes and edges that a store holds, where it stops taking more, and the share it aims at.
+NODE_LIMIT, EDGE_LIMIT, STOP, TARGET = 200_000, 400_000, 180_000, 0.85
+
+
+def capacity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: counts, shares of the limits, what is left, and whether the target or the stop is passed."""
+    one = nodes.agg(F.count("*").alias("nodes")).crossJoin(edges.agg(F.count("*").alias("links")))  # one row each
+    share = one.withColumns({"node_share": F.round(F.col("nodes") / NODE_LIMIT, 4), "edge_share": F.round(F.col("links") / EDGE_LIMIT, 4)})
+    left = lambda limit: F.greatest(F.lit(0).cast("long"), limit - F.col("nodes"))
+    stop = F.col("nodes") >= STOP
+    return share.select(
+        "nodes", "links", "node_share", "edge_share", left(NODE_LIMIT).alias("headroom"), left(STOP).alias("to_stop"), stop.alias("stop"),
+        ((F.col("node_share") >= TARGET) | (F.col("edge_share") >= TARGET) | stop).alias("over_target"),
+    )

@@ -21,13 +21,25 @@ ROLES = {
     "llp-member": "MEMBER_OF", "llp-designated-member": "DIRECTOR_OF", "member": "MEMBER_OF", "manager": "OFFICER_OF",
     "judicial-factor": "CONTROLS", "receiver": "CONTROLS", "receiver-manager": "CONTROLS", "cic-manager": "OFFICER_OF", "other": "ASSOCIATED_WITH",
 }
-#: Words in the description of a link, in the order in which they are tried.
-LINKS = (
-    ("shareholder", "SHAREHOLDER_OF"), ("beneficiary of", "OWNED_BY"), ("owner", "OWNS"), ("director", "DIRECTOR_OF"), ("president", "DIRECTOR_OF"),
-    ("treasurer", "DIRECTOR_OF"), ("secretary", "DIRECTOR_OF"), ("intermediary", "INTERMEDIARY_FOR"), ("address", "LOCATED_IN"), ("incorporated", "REGISTERED_IN"),
-    ("registered in", "REGISTERED_IN"), ("jurisdiction", "REGISTERED_IN"), ("parent", "PARENT_OF"), ("subsidiary", "SUBSIDIARY_OF"), ("trustee", "CONTROLS"),
-    ("protector", "CONTROLS"), ("settlor", "FOUNDED"), ("officer", "OFFICER_OF"), ("member", "MEMBER_OF"),
+#: Descriptions of links, in the order in which they are looked for.
+LINK_TYPES = (
+    ("officer of", "DIRECTOR_OF"), ("director of", "DIRECTOR_OF"), ("president of", "DIRECTOR_OF"), ("vice president of", "DIRECTOR_OF"), ("treasurer of", "DIRECTOR_OF"),
+    ("secretary of", "DIRECTOR_OF"), ("board member of", "DIRECTOR_OF"), ("board of directors of", "DIRECTOR_OF"), ("intermediary of", "INTERMEDIARY_FOR"),
+    ("shareholder of", "SHAREHOLDER_OF"), ("owner of", "OWNS"), ("beneficial owner of", "OWNS"), ("beneficiary of", "OWNED_BY"), ("registered address", "LOCATED_IN"),
+    ("address of", "LOCATED_IN"), ("registered address of", "LOCATED_IN"), ("jurisdiction of", "REGISTERED_IN"), ("incorporated in", "REGISTERED_IN"), ("registered in", "REGISTERED_IN"),
+    ("parent of", "PARENT_OF"), ("subsidiary of", "SUBSIDIARY_OF"), ("related to", "ASSOCIATED_WITH"), ("connected to", "ASSOCIATED_WITH"), ("same name and address as", "ASSOCIATED_WITH"),
+    ("nominee shareholder of", "SHAREHOLDER_OF"), ("trustee of", "CONTROLS"), ("settlor of", "FOUNDED"), ("protector of", "CONTROLS"), ("power of attorney of", "CONTROLS"),
+    ("authorized representative of", "OFFICER_OF"), ("senior managing officer of", "OFFICER_OF"), ("alternative director of", "DIRECTOR_OF"),
+    ("director / board member of", "DIRECTOR_OF"), ("member of", "MEMBER_OF"), ("partner of", "ASSOCIATED_WITH"), ("client of", "ASSOCIATED_WITH"),
+    ("bank account of", "ASSOCIATED_WITH"), ("record id", "ASSOCIATED_WITH"),
 )
+#: Words that decide where no description is found, in this order.
+LINK_WORDS = (
+    ("director", "DIRECTOR_OF"), ("board", "DIRECTOR_OF"), ("intermediar", "INTERMEDIARY_FOR"), ("shareholder", "SHAREHOLDER_OF"), ("address", "LOCATED_IN"),
+    ("jurisdiction", "REGISTERED_IN"), ("incorporated", "REGISTERED_IN"),
+)
+
+
 #: Verb stems, predicate, evidence, priority, type of the subject and of the object ("" is any).
 VERBS = (
     ("own", "OWNS", 1.0, 5, "", ""), ("hold", "OWNS", 0.9, 4, "", "Craft"), ("control", "CONTROLS", 1.0, 6, "", ""), ("acquire", "ACQUIRED", 0.95, 5, "", "Organization"),
@@ -46,6 +58,13 @@ def first_match(text: Column, table: tuple, default: str) -> Column:
     return out
 
 
+def link_predicate(label: Column) -> Column:
+    """The predicate of a link's description: as a whole, else by the first description or word in it."""
+    plain = F.lower(F.trim(F.regexp_replace(F.coalesce(label, F.lit("")), "\\s+", " ")))
+    whole = F.create_map(*(F.lit(x) for pair in LINK_TYPES for x in pair))
+    return F.coalesce(F.try_element_at(whole, plain), first_match(plain, LINK_TYPES + LINK_WORDS, "ASSOCIATED_WITH"))
+
+
 def first_match_sql(text: str, table: tuple, default: str) -> str:
     return "CASE " + " ".join(f"WHEN contains(lower({text}), '{w}') THEN '{p}'" for w, p, *_ in table) + f" ELSE '{default}' END"
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.confidence import clamp01
+from graphloom.functions.confidence import noisy_or, noisy_or_all
 
 
 def first_of(values: Column, most: int) -> Column:
@@ -41,7 +41,7 @@ def merge_observations(observations: DataFrame) -> DataFrame:
     """Edges from observations: in a document the strongest counts, documents corroborate, loops go."""
     once = observations.where("subject <> object").groupBy("subject", "predicate", "object", "doc_id").agg(F.max("confidence").alias("c"))
     return once.groupBy("subject", "predicate", "object").agg(
-        F.round(1 - F.product(1 - clamp01(F.col("c"))), 6).alias("confidence"), F.count("*").alias("observations"), F.array_sort(F.collect_set("doc_id")).alias("docs")
+        noisy_or_all(F.col("c")).alias("confidence"), F.count("*").alias("observations"), F.array_sort(F.collect_set("doc_id")).alias("docs")
     )
 
 
@@ -59,7 +59,7 @@ def upsert_edges(stored: DataFrame, new: DataFrame, most_docs: int = 20) -> Data
     joined = a.join(b, key, "full_outer")
     return joined.select(
         *key,
-        F.when(F.col("confidence_a").isNull(), F.col("confidence_b")).when(fresh, F.round(1 - (1 - F.col("confidence_a")) * (1 - F.coalesce("confidence_b", F.lit(0.0))), 6)).otherwise(F.col("confidence_a")).alias("confidence"),
+        F.when(F.col("confidence_a").isNull(), F.col("confidence_b")).when(fresh, noisy_or(F.col("confidence_a"), F.col("confidence_b"))).otherwise(F.col("confidence_a")).alias("confidence"),
         (F.coalesce("observations_a", F.lit(0)) + F.when(fresh, F.coalesce("observations_b", F.lit(0))).otherwise(0)).alias("observations"),
         F.greatest("weight_a", "weight_b").alias("weight"),
         last_of(F.concat(F.coalesce("docs_a", none), F.coalesce("docs_b", none)), most_docs).alias("docs"),
@@ -87,5 +87,5 @@ def repoint(edges: DataFrame, mapping: DataFrame) -> DataFrame:
         out = out.join(mapping.select(F.col("key").alias(side), F.col("winner").alias(f"{side}_w")), side, "left")
     moved = out.select(F.coalesce("subject_w", "subject").alias("subject"), "predicate", F.coalesce("object_w", "object").alias("object"), "confidence", "observations")
     return moved.where("subject <> object").groupBy("subject", "predicate", "object").agg(
-        F.round(1 - F.product(1 - clamp01(F.col("confidence"))), 6).alias("confidence"), F.sum("observations").alias("observations")
+        noisy_or_all(F.col("confidence")).alias("confidence"), F.sum("observations").alias("observations")
     )

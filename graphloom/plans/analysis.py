@@ -11,13 +11,14 @@ from graphloom.sources.relational import EDGES_SQL, ENTITIES_SQL, OBSERVATIONS_S
 
 _BOTH = f"WITH {ENTITIES_SQL}, {EDGES_SQL}"
 
-_LINK = "['officer of', 'Beneficial Owner of', 'registered address', 'trustee of', 'same name as'][p_partkey % 5 + 1]"
+_LINKS = [*(k for k, _ in rules.LINK_TYPES), "Beneficial  Owner of", "a nominee shareholder of it", "the incorporated one", "same name as"]
+_LINK = f"regexp_replace(lower({_LINKS!r}[p_partkey % {len(_LINKS)} + 1]), '\\s+', ' ', 'g')"
 
 
-@query(f"SELECT p_partkey, {rules.first_match_sql(_LINK, rules.LINKS, 'ASSOCIATED_WITH')} AS predicate FROM part")
+@query(f"SELECT p_partkey, CASE {_LINK} " + " ".join(f"WHEN '{k}' THEN '{p}'" for k, p in rules.LINK_TYPES) + f" ELSE {rules.first_match_sql(_LINK, rules.LINK_TYPES + rules.LINK_WORDS, 'ASSOCIATED_WITH')} END AS predicate FROM part")
 def s06_link_types(spark, d):
-    kinds = F.array(*map(F.lit, ("officer of", "Beneficial Owner of", "registered address", "trustee of", "same name as")))
-    return table(spark, d, "part").select("p_partkey", rules.first_match(F.element_at(kinds, (F.col("p_partkey") % 5 + 1).cast("int")), rules.LINKS, "ASSOCIATED_WITH").alias("predicate"))
+    kinds = F.array(*map(F.lit, _LINKS))
+    return table(spark, d, "part").select("p_partkey", rules.link_predicate(F.element_at(kinds, (F.col("p_partkey") % len(_LINKS) + 1).cast("int"))).alias("predicate"))
 
 
 _NATURE = "['ownership-of-shares-75-to-100-percent', 'voting-rights-25-to-50-percent', 'right-to-appoint-and-remove-directors', 'none'][p_partkey % 4 + 1]"
@@ -47,22 +48,6 @@ _RULES = "rules AS (SELECT * FROM (VALUES " + ", ".join(f"('{v}', '{p}', {e}, {n
 _TRIPLES = "t AS (SELECT l_orderkey * 10 + l_linenumber AS id, ['own', 'hold', 'operate', 'meet', 'dance'][l_suppkey % 5 + 1] AS verb, CASE WHEN l_partkey % 2 = 0 THEN 'Person' ELSE 'Organization' END AS st, CASE l_partkey % 3 WHEN 0 THEN 'Craft' WHEN 1 THEN 'Location' ELSE 'Person' END AS ot FROM (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS l_suppkey, min(l_partkey) AS l_partkey FROM lineitem GROUP BY 1, 2))"
 
 
-@query(f"WITH {_RULES}, {_TRIPLES}, m AS (SELECT id, predicate, evidence, row_number() OVER (PARTITION BY id ORDER BY priority DESC, ro) AS k FROM t JOIN rules USING (verb) WHERE (sk = '' OR sk = st) AND (ok = '' OR ok = ot)) SELECT t.id, coalesce(predicate, 'ASSOCIATED_WITH') AS predicate, coalesce(evidence, 0.6)::DOUBLE AS evidence FROM t LEFT JOIN m ON t.id = m.id AND k = 1")
-def x15_verb_rules(spark, d):
-    lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("s"), F.min("l_partkey").alias("p"))
-    verbs = F.array(*map(F.lit, ("own", "hold", "operate", "meet", "dance")))
-    t = lines.select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.element_at(verbs, (F.col("s") % 5 + 1).cast("int")).alias("verb"),
-        F.when(F.col("p") % 2 == 0, "Person").otherwise("Organization").alias("subject_type"), F.when(F.col("p") % 3 == 0, "Craft").when(F.col("p") % 3 == 1, "Location").otherwise("Person").alias("object_type"),
-    )
-    return rules.apply_verbs(t, rules.verb_rules(spark))
-
-
-@query("SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS host, count(*) AS n FROM pages GROUP BY 1")
-def x03_summary(spark, d):
-    return table(spark, d, "pages").groupBy(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host")).agg(F.count("*").alias("n"))
-
-
 @query("SELECT p_partkey, p_name FROM part WHERE p_name NOT IN ('small ring', 'red widget') AND len(p_name) >= 9")
 def x12_noise_filter(spark, d):
     noise = spark.createDataFrame([("small ring",), ("red widget",)], "p_name string")

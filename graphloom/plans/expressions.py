@@ -176,16 +176,11 @@ def f21_block_keys(spark, d):
     return keys.groupBy("block_key").agg(F.count("*").alias("members")).where("members > 1")
 
 
-@query()
-def f22_normalize_address(spark, d):
-    address = F.concat(F.col("c_custkey"), F.lit(" Main St., "), F.col("c_mktsegment"), F.lit(", Panama"))
-    return table(spark, d, "customer").select("c_custkey", craft.normalize_address(address).alias("address"), craft.address_key(address).alias("address_key"))
-
-
-_TAIL = "regexp_matches(upper(trim(name)), '^(N[1-9][0-9]{0,4}[A-HJ-NP-Z]{0,2}|[A-Z0-9]{1,2}-[A-Z0-9]{3,5})$')"
+_UPPER = "replace(upper(trim(name)), ' ', '-')"
+_TAIL = f"(regexp_matches({_UPPER}, '^[A-Z0-9]{{1,2}}-[A-Z0-9]{{1,5}}$') OR (regexp_matches({_UPPER}, '^[A-Z0-9]{{4,7}}$') AND regexp_matches({_UPPER}, '[0-9]') AND regexp_matches({_UPPER}, '[A-Z]')))"
 
 
-@query(f"SELECT p_partkey, {_TAIL} AND NOT regexp_matches(upper(trim(name)), '^(MV|MT|SS|MS|MY)-') AS is_tail FROM (SELECT p_partkey, ['N' || p_partkey, 'D-' || upper(substring(p_name, 1, 4)), 'MV-' || p_partkey, p_name][p_partkey % 4 + 1] AS name FROM part)")
+@query(f"SELECT p_partkey, {_TAIL} AND NOT regexp_matches({_UPPER}, '^(MV|MT|SS|MS|MY)-') AS is_tail FROM (SELECT p_partkey, ['N' || p_partkey, 'D-' || upper(substring(p_name, 1, 4)), 'MV-' || p_partkey, p_name][p_partkey % 4 + 1] AS name FROM part)")
 def f25_tail_number(spark, d):
     some = F.array(F.concat(F.lit("N"), F.col("p_partkey")), F.concat(F.lit("D-"), F.upper(F.substring("p_name", 1, 4))), F.concat(F.lit("MV-"), F.col("p_partkey")), F.col("p_name"))
     return table(spark, d, "part").select("p_partkey", craft.looks_like_tail(F.element_at(some, (F.col("p_partkey") % 4 + 1).cast("int"))).alias("is_tail"))

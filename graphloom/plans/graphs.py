@@ -179,12 +179,15 @@ def g11_three_cycles(spark, d):
 
 
 @query(
-    f"WITH {EDGES_SQL}, x AS (SELECT object AS node, count(DISTINCT subject) AS incoming, max(confidence) AS best FROM edges WHERE predicate = 'CONTRACTED_WITH' GROUP BY 1) "
-    "SELECT node, round(0.6 * incoming / max(incoming) OVER () + 0.4 * best / max(best) OVER (), 4) AS score FROM x"
+    f"WITH {EDGES_SQL}, x AS (SELECT object AS node, sum(observations)::DOUBLE AS pagerank, max(confidence) AS betweenness, count(DISTINCT subject)::DOUBLE AS in_degree FROM edges WHERE predicate = 'CONTRACTED_WITH' GROUP BY 1) "
+    "SELECT node, round(0.5::DOUBLE * (pagerank / max(pagerank) OVER ()) + 0.3::DOUBLE * (betweenness / max(betweenness) OVER ()) + 0.2::DOUBLE * (in_degree / max(in_degree) OVER ()), 6) AS score FROM x"
 )
 def g14_blend(spark, d):
-    x = edges(spark, d).where("predicate = 'CONTRACTED_WITH'").groupBy(F.col("object").alias("node")).agg(F.countDistinct("subject").cast("double").alias("incoming"), F.max("confidence").alias("best"))
-    return x.select("node", F.round(graph.blend({"incoming": (F.col("incoming"), 0.6), "best": (F.col("best"), 0.4)}), 4).alias("score"))
+    """The three measures stand for rank, betweenness and incoming control."""
+    x = edges(spark, d).where("predicate = 'CONTRACTED_WITH'").groupBy(F.col("object").alias("node")).agg(
+        F.sum("observations").cast("double").alias("pagerank"), F.max("confidence").alias("betweenness"), F.countDistinct("subject").cast("double").alias("in_degree")
+    )
+    return graph.blend(x).select("node", "score")
 
 
 @query(

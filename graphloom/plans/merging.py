@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from graphloom.functions.confidence import noisy_or_sql
 from graphloom.functions.vocab import EDGE_WEIGHTS, SYMMETRIC, edge_weight
 from graphloom.operators import resolve, upsert
 from graphloom.plans.registry import query
@@ -23,15 +24,15 @@ def k01_document_upsert(spark, d):
     return merged.withColumn("title", F.concat(F.length("title").cast("string"), F.lit("|"), "title"))
 
 
-@query(f"WITH {OBSERVATIONS_SQL}, o AS (SELECT subject, predicate, object, doc_id, max(confidence) AS c FROM observations WHERE subject <> object GROUP BY 1, 2, 3, 4) SELECT subject, predicate, object, round(1 - product(1 - c), 6) AS confidence, count(*) AS observations FROM o GROUP BY 1, 2, 3")
+@query(f"WITH {OBSERVATIONS_SQL}, o AS (SELECT subject, predicate, object, doc_id, max(confidence) AS c FROM observations WHERE subject <> object GROUP BY 1, 2, 3, 4) SELECT subject, predicate, object, {noisy_or_sql('c')} AS confidence, count(*) AS observations FROM o GROUP BY 1, 2, 3")
 def k03_edge_merge(spark, d):
     return upsert.merge_observations(observations(spark, d)).select("subject", "predicate", "object", "confidence", "observations")
 
 
 @query(
     f"WITH {OBSERVATIONS_SQL}, o AS (SELECT subject, predicate, object, doc_id, right(doc_id, 1) < '5' AS old, max(confidence) AS c FROM observations WHERE subject <> object GROUP BY 1, 2, 3, 4, 5), "
-    "b AS (SELECT subject, predicate, object, old, round(1 - product(1 - c), 6) AS c, count(*) AS n FROM o GROUP BY 1, 2, 3, 4) "
-    "SELECT subject, predicate, object, round(1 - product(1 - c), 6) AS confidence, sum(n)::BIGINT AS observations FROM b GROUP BY 1, 2, 3"
+    f"b AS (SELECT subject, predicate, object, old, {noisy_or_sql('c')} AS c, count(*) AS n FROM o GROUP BY 1, 2, 3, 4) "
+    f"SELECT subject, predicate, object, {noisy_or_sql('c')} AS confidence, sum(n)::BIGINT AS observations FROM b GROUP BY 1, 2, 3"
 )
 def k03_edge_upsert(spark, d):
     """Two batches, the second sent twice: the result is that of all observations at once."""
@@ -116,19 +117,6 @@ def x09_evidence_score(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", score.alias("score"))
 
 
-@query("SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) AS mail FROM documents")
-def x01_pattern_matches(spark, d):
-    found = F.regexp_extract_all("text", F.lit("[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}"), F.lit(0))
-    return table(spark, d, "documents").select("doc_id", F.explode(found).alias("mail"))
-
-
-@query("SELECT CASE WHEN regexp_matches(text, '(^|[^A-Za-zÀ-ÿ])(not|never|nicht|kein)($|[^A-Za-zÀ-ÿ])') THEN 'negated' WHEN regexp_matches(text, '(^|[^A-Za-zÀ-ÿ])(may|might|allegedly|angeblich)($|[^A-Za-zÀ-ÿ])') THEN 'hedged' ELSE 'plain' END AS cue, count(*) AS n FROM documents GROUP BY 1")
-def x21_cues(spark, d):
-    t = F.col("text")
-    cue = F.when(t.rlike("(^|[^A-Za-zÀ-ÿ])(not|never|nicht|kein)($|[^A-Za-zÀ-ÿ])"), "negated").when(t.rlike("(^|[^A-Za-zÀ-ÿ])(may|might|allegedly|angeblich)($|[^A-Za-zÀ-ÿ])"), "hedged").otherwise("plain")
-    return table(spark, d, "documents").groupBy(cue.alias("cue")).agg(F.count("*").alias("n"))
-
-
 _SUPPLIERS = "SELECT 'O' || s_suppkey AS key, 'Firm ' || n_name || ' ' || (s_suppkey % 10) AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey"
 
 
@@ -161,10 +149,9 @@ def w03_mutual_best(spark, d):
 
 @query(
     f"WITH {EDGES_SQL}, m AS (SELECT subject, CASE WHEN predicate = 'CONTRACTED_WITH' THEN 'O' || (substring(object, 2)::BIGINT - substring(object, 2)::BIGINT % 10) ELSE object END AS object, predicate, confidence, observations FROM edges WHERE predicate = 'CONTRACTED_WITH') "
-    "SELECT subject, predicate, object, round(1 - product(1 - confidence) + 0.00001234567, 4) AS confidence, sum(observations)::BIGINT AS observations FROM m WHERE subject <> object GROUP BY 1, 2, 3"
+    f"SELECT subject, predicate, object, {noisy_or_sql('confidence')} AS confidence, sum(observations)::BIGINT AS observations FROM m WHERE subject <> object GROUP BY 1, 2, 3"
 )
 def g34_repoint(spark, d):
     """Every supplier merged into the first of its ten."""
     s = table(spark, d, "supplier").select(F.concat(F.lit("O"), F.col("s_suppkey")).alias("key"), F.concat(F.lit("O"), F.col("s_suppkey") - F.col("s_suppkey") % 10).alias("winner"))
-    moved = upsert.repoint(edges(spark, d).where("predicate = 'CONTRACTED_WITH'"), s)
-    return moved.withColumn("confidence", F.round(F.col("confidence") + 0.00001234567, 4))
+    return upsert.repoint(edges(spark, d).where("predicate = 'CONTRACTED_WITH'"), s)

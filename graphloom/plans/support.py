@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.functions.confidence import strength
+from graphloom.functions.confidence import noisy_or_all, noisy_or_sql, strength
 from graphloom.functions.vocab import edge_weight
 from graphloom.operators import rules
 from graphloom.plans.registry import query
@@ -25,25 +25,11 @@ def s36_bounded_snapshot(spark, d):
     return edges(spark, d).join(top, F.col("subject") == F.col("key"), "left_semi").join(top, F.col("object") == F.col("key"), "left_semi").select("subject", "object", "predicate", "sources")
 
 
-@query(f"WITH {OBSERVATIONS_SQL}, s AS (SELECT subject, predicate, object, doc_id, line // 2 AS claim, max(confidence) AS c FROM observations GROUP BY 1, 2, 3, 4, 5) SELECT subject, predicate, object, round(1 - product(1 - c), 6) AS confidence FROM s GROUP BY 1, 2, 3")
+@query(f"WITH {OBSERVATIONS_SQL}, s AS (SELECT subject, predicate, object, doc_id, line // 2 AS claim, max(confidence) AS c FROM observations GROUP BY 1, 2, 3, 4, 5) SELECT subject, predicate, object, {noisy_or_sql('c')} AS confidence FROM s GROUP BY 1, 2, 3")
 def x10_same_claim(spark, d):
     """Repeats of one claim take the strongest, different claims corroborate."""
     claims = observations(spark, d).groupBy("subject", "predicate", "object", "doc_id", F.floor(F.col("line") / 2).alias("claim")).agg(F.max("confidence").alias("c"))
-    return claims.groupBy("subject", "predicate", "object").agg(F.round(1 - F.product(1 - F.col("c")), 6).alias("confidence"))
-
-
-@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(greatest(0.4, 0.9 - 0.3 * least(1.0, l_quantity / 30.0)), 9)::DOUBLE AS evidence FROM lineitem")
-def x18_cooccurrence_decay(spark, d):
-    decay = F.greatest(F.lit(0.4), 0.9 - 0.3 * F.least(F.lit(1.0), F.col("l_quantity") / 30))
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(decay, 9).alias("evidence"))
-
-
-@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 AND p_size % 2 = 0 THEN 'OPERATES' WHEN p_size % 3 = 1 THEN 'LOCATED_IN' ELSE 'ASSOCIATED_WITH' END AS predicate FROM part")
-def x19_type_default(spark, d):
-    subject = F.when(F.col("p_size") % 2 == 0, "Organization").otherwise("Person")
-    obj = F.when(F.col("p_size") % 3 == 0, "Craft").when(F.col("p_size") % 3 == 1, "Location").otherwise("Person")
-    predicate = F.when((subject == "Organization") & (obj == "Craft"), "OPERATES").when(obj == "Location", "LOCATED_IN").otherwise("ASSOCIATED_WITH")
-    return table(spark, d, "part").select("p_partkey", predicate.alias("predicate"))
+    return claims.groupBy("subject", "predicate", "object").agg(noisy_or_all(F.col("c")).alias("confidence"))
 
 
 @query(f"WITH {OBSERVATIONS_SQL} SELECT subject, object, predicate, count(*) AS merged FROM observations WHERE subject <> object GROUP BY 1, 2, 3 HAVING count(*) > 1")
@@ -107,7 +93,7 @@ def g22_offshore_flag(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", ((F.col("s_acctbal") < 0) | F.col("s_nationkey").isin(3, 7)).alias("offshore"))
 
 
-@query("WITH p AS (SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey), t AS (SELECT DISTINCT x.l_suppkey AS a, y.l_suppkey AS b FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_suppkey < y.l_suppkey WHERE x.l_quantity > 48 AND y.l_quantity > 48) SELECT a, b FROM p EXCEPT SELECT a, b FROM t")
+@query("WITH p AS (SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey), t AS (SELECT DISTINCT x.l_suppkey AS a, y.l_suppkey AS b FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_suppkey < y.l_suppkey ) SELECT a, b FROM p EXCEPT SELECT a, b FROM t")
 def g36_protected_pairs(spark, d):
     """Candidates that a shared document doesn't protect from merging."""
     s = table(spark, d, "supplier")

@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Elements whose content is never text, blocks that end a line, and names of boilerplate.
-SKIPPED = frozenset("script style noscript template svg nav footer header aside form button iframe select option".split())
+SKIPPED = frozenset(
+    "script style noscript template svg canvas iframe form button select option nav footer header aside figure figcaption picture source video audio advert "
+    "advertisement".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCKS = frozenset("p div section article main li ul ol h1 h2 h3 h4 h5 h6 tr table blockquote pre br dd dt figure".split())
 BOILERPLATE = re.compile(r"(^|[-_ ])(nav|menu|footer|header|sidebar|cookie|banner|ad|ads|advert|share|social|related|newsletter|breadcrumb)s?($|[-_ ])", re.I)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions.confidence import noisy_or_all
+from graphloom.functions.confidence import noisy_or_all, noisy_or_sql
 from graphloom.functions.vocab import edge_weight
 from graphloom.session import reach
 
@@ -57,8 +57,8 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     common = [_key("D", "o_orderkey").alias("doc_id"), F.col("o_orderpriority").alias("source"), F.to_date("o_orderdate").alias("seen"), F.col("l_linenumber").alias("line")]
     return lines.select(
         F.inline(F.array(
-            F.struct(_key("P", "o_custkey").alias("subject"), F.lit("CONTRACTED_WITH").alias("predicate"), _key("O", "l_suppkey").alias("object"), F.round(0.2 + F.col("l_discount") * 4.8763, 6).alias("confidence")),
-            F.struct(_key("O", "l_suppkey").alias("subject"), F.lit("OPERATES").alias("predicate"), _key("C", "l_partkey").alias("object"), F.round(0.3 + F.col("l_tax") * 4.9127, 6).alias("confidence")),
+            F.struct(_key("P", "o_custkey").alias("subject"), F.lit("CONTRACTED_WITH").alias("predicate"), _key("O", "l_suppkey").alias("object"), F.round(0.2 + F.col("l_discount") * 5, 6).alias("confidence")),
+            F.struct(_key("O", "l_suppkey").alias("subject"), F.lit("OPERATES").alias("predicate"), _key("C", "l_partkey").alias("object"), F.round(0.3 + F.col("l_tax") * 5, 6).alias("confidence")),
         )), *common,
     )
 
@@ -96,18 +96,18 @@ UNION ALL SELECT 'L' || n_nationkey, n_name, 'Location', n_name, NULL, 1.0, 0, N
 UNION ALL SELECT 'R' || r_regionkey, r_name, 'Location', r_name, NULL, 1.0, 0, NULL, NULL FROM region)"""
 OBSERVATIONS_SQL = """
 observations AS (
-SELECT 'P' || o_custkey AS subject, 'CONTRACTED_WITH' AS predicate, 'O' || l_suppkey AS object, round(0.2 + l_discount * 4.8763::DOUBLE, 6) AS confidence,
+SELECT 'P' || o_custkey AS subject, 'CONTRACTED_WITH' AS predicate, 'O' || l_suppkey AS object, round(0.2 + l_discount * 5, 6) AS confidence,
     'D' || o_orderkey AS doc_id, o_orderpriority AS source, o_orderdate::DATE AS seen, l_linenumber AS line FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-UNION ALL SELECT 'O' || l_suppkey, 'OPERATES', 'C' || l_partkey, round(0.3 + l_tax * 4.9127::DOUBLE, 6), 'D' || o_orderkey, o_orderpriority, o_orderdate::DATE, l_linenumber
+UNION ALL SELECT 'O' || l_suppkey, 'OPERATES', 'C' || l_partkey, round(0.3 + l_tax * 5, 6), 'D' || o_orderkey, o_orderpriority, o_orderdate::DATE, l_linenumber
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 EDGES_SQL = (
     OBSERVATIONS_SQL
     + """,
-edges AS (SELECT subject, predicate, object, round(1 - product(1 - c), 6) AS confidence, count(*) AS observations, count(DISTINCT source) AS sources,
+edges AS (SELECT subject, predicate, object, @NOISY AS confidence, count(*) AS observations, count(DISTINCT source) AS sources,
     min(seen) AS first_seen, max(seen) AS last_seen, CASE predicate WHEN 'CONTRACTED_WITH' THEN 0.6 ELSE 0.8 END::DOUBLE AS weight
     FROM (SELECT subject, predicate, object, doc_id, max(confidence) AS c, max(seen) AS seen, max(source) AS source FROM observations GROUP BY ALL) GROUP BY ALL)"""
 )
-EDGES_SQL = EDGES_SQL.replace("observations GROUP BY ALL) GROUP BY ALL", "observations GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3")
+EDGES_SQL = EDGES_SQL.replace("@NOISY", noisy_or_sql("c")).replace("observations GROUP BY ALL) GROUP BY ALL", "observations GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3")
 PLACES_SQL = """
 places AS (SELECT 'O' || s_suppkey AS subject, 'LOCATED_IN' AS predicate, 'L' || s_nationkey AS object, 0.7::DOUBLE AS weight FROM supplier
 UNION ALL SELECT 'P' || c_custkey, 'NATIONAL_OF', 'L' || c_nationkey, 0.8 FROM customer UNION ALL SELECT 'L' || n_nationkey, 'LOCATED_IN', 'R' || n_regionkey, 0.7 FROM nation)"""
