@@ -156,15 +156,8 @@ def learn(docs: DataFrame) -> Languages:
                     sums[place[lang]] = sums.get(place[lang], 0) + found * WEIGHT // found.sum()
         yield sent(sums)
 
-    def add(batches):
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for at, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                sums[at] = sums.get(at, 0) + part.values.to_numpy()
-        yield sent(sums)
-
-    # one row a task and language, then one a language
-    parts = sample.select("lang", "text").mapInArrow(count, schema).repartition("at").mapInArrow(add, schema).collect()
+    # a language's sample, which MAX_DOCS bounds, is counted in one task: one row a language
+    parts = sample.select("lang", "text").repartition(len(names), "lang").mapInArrow(count, schema).collect()
     found = sorted((r.at, r.sums) for r in parts)
     rates = np.array([r for _, r in found], float).reshape(len(found), BUCKETS) * 1000 / WEIGHT + SMOOTHING
     return Languages([names[i] for i, _ in found], rates / rates.sum(1, keepdims=True))
