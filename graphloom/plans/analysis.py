@@ -174,10 +174,12 @@ def j10_blocks(spark, d):
     return b.where("size(keys) BETWEEN 2 AND 40").groupBy(F.array_join("keys", ",").alias("members")).agg(F.count("*").alias("blocks"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce(o_orderpriority, 'missing') AS evidence FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 2 = 0) ON l_orderkey = o_orderkey")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce(source, 'missing') AS evidence FROM lineitem LEFT JOIN documents ON l_partkey = doc_id")
 def j15_evidence_lookup(spark, d):
-    even = table(spark, d, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority")
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").join(even, "l_orderkey", "left").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.coalesce("o_orderpriority", F.lit("missing")).alias("evidence"))
+    """Each line cites the document of its part's number; numbers that no document has are said to be missing."""
+    known = table(spark, d, "documents").select(F.col("doc_id").alias("l_partkey"), "source")
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return lines.join(known, "l_partkey", "left").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.coalesce("source", F.lit("missing")).alias("evidence"))
 
 
 @query("SELECT key, predicate, max(c) AS confidence FROM (SELECT l_suppkey AS key, l_returnflag AS predicate, l_discount AS c FROM lineitem UNION ALL SELECT s_suppkey, 'N', 0.05 FROM supplier) GROUP BY 1, 2")
@@ -187,11 +189,15 @@ def j17_stronger_wins(spark, d):
     return new.unionByName(stored).groupBy("key", "predicate").agg(F.max("c").alias("confidence"))
 
 
-@query("WITH p AS (SELECT a.s_suppkey AS a, b.s_suppkey AS b, 'nation' AS reason FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey UNION ALL SELECT a.s_suppkey, b.s_suppkey, 'balance' FROM supplier a JOIN supplier b ON floor(a.s_acctbal / 1000) = floor(b.s_acctbal / 1000) AND a.s_suppkey < b.s_suppkey) SELECT a, b, array_to_string(list_sort(list(reason)), ',') AS reasons FROM p GROUP BY 1, 2")
+@query("WITH x AS (SELECT s_suppkey, unnest([{'reason': 'address', 'v': s_nationkey || '/' || floor(s_acctbal / 100)::BIGINT}, {'reason': 'balance', 'v': (floor(s_acctbal / 10)::BIGINT)::VARCHAR}]) AS c FROM supplier), k AS (SELECT * FROM x WHERE c IN (SELECT c FROM x GROUP BY 1 HAVING count(*) BETWEEN 2 AND 40)) SELECT a.s_suppkey AS a, b.s_suppkey AS b, array_to_string(list_sort(list(a.c.reason)), ',') AS reasons FROM k a JOIN k b ON a.c = b.c AND a.s_suppkey < b.s_suppkey GROUP BY 1, 2")
 def z01_pair_reasons(spark, d):
-    s = table(spark, d, "supplier").select("s_suppkey", F.explode(F.array(F.struct(F.lit("nation").alias("reason"), F.col("s_nationkey").cast("string").alias("v")), F.struct(F.lit("balance").alias("reason"), F.floor(F.col("s_acctbal") / 1000).cast("string").alias("v")))).alias("x"))
-    a, b = s.select(F.col("s_suppkey").alias("a"), "x"), s.select(F.col("s_suppkey").alias("b"), "x")
-    pairs = a.join(b, "x").where("a < b")
+    """Pairs that share an address or a band of balances, with the reasons; groups of more than 40 aren't paired."""
+    reason = lambda name, value: F.struct(F.lit(name).alias("reason"), value.alias("v"))
+    place = F.concat_ws("/", F.col("s_nationkey").cast("string"), F.floor(F.col("s_acctbal") / 100).cast("string"))
+    s = table(spark, d, "supplier").select("s_suppkey", F.explode(F.array(reason("address", place), reason("balance", F.floor(F.col("s_acctbal") / 10).cast("string")))).alias("x"))
+    small = s.groupBy("x").agg(F.count("*").alias("n")).where("n BETWEEN 2 AND 40").select("x")
+    kept = s.join(small, "x", "left_semi")
+    pairs = kept.select(F.col("s_suppkey").alias("a"), "x").join(kept.select(F.col("s_suppkey").alias("b"), "x"), "x").where("a < b")
     return pairs.groupBy("a", "b").agg(F.array_join(F.array_sort(F.collect_list("x.reason")), ",").alias("reasons"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.functions.craft import fnv_bin
-from graphloom.operators import provenance
+from graphloom.operators import provenance, resolve
 from graphloom.plans.registry import query
 from graphloom.sources.relational import EDGES_SQL, ENTITIES_SQL, OBSERVATIONS_SQL, edges, entities, observations, table
 
@@ -20,24 +20,30 @@ _BOTH = f"WITH {ENTITIES_SQL}, {EDGES_SQL}"
 
 
 @query(
-    "WITH m AS (SELECT l_orderkey AS doc, l_linenumber * 40 AS at, l_suppkey AS key FROM lineitem WHERE l_quantity >= 45) SELECT a.key AS a, b.key AS b, count(*) AS n FROM m a JOIN m b ON a.doc = b.doc "
+    "WITH m AS (SELECT l_orderkey AS doc, l_linenumber * 40 AS at, l_suppkey AS key FROM lineitem) SELECT a.key AS a, b.key AS b, count(*) AS n FROM m a JOIN m b ON a.doc = b.doc "
     "AND a.key < b.key AND abs(a.at - b.at) <= 120 GROUP BY 1, 2"
 )
 def j01_band_join(spark, d):
-    m = table(spark, d, "lineitem").where("l_quantity >= 45").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") * 40).alias("at"), F.col("l_suppkey").alias("key"))
+    m = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") * 40).alias("at"), F.col("l_suppkey").alias("key"))
     return provenance.band_pairs(m, 120)
 
 
-@query("SELECT a.s_suppkey AS a, b.s_suppkey AS b, a.s_nationkey AS address FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey")
+#: Suppliers at one address: of a nation, and with balances in one band; groups of more than 40 aren't paired.
+ADDRESS_SQL = "a0 AS (SELECT s_suppkey, s_nationkey || '/' || floor(s_acctbal / 100)::BIGINT AS address FROM supplier), addressed AS (SELECT * FROM a0 WHERE address IN (SELECT address FROM a0 GROUP BY 1 HAVING count(*) BETWEEN 2 AND 40))"
+LARGEST_ADDRESS = 40
+
+
+def addressed(spark, d):
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), F.concat_ws("/", F.col("s_nationkey").cast("string"), F.floor(F.col("s_acctbal") / 100).cast("string")).alias("block"), F.lit("").alias("entity_type"))
+
+
+@query(f"WITH {ADDRESS_SQL} SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM addressed a JOIN addressed b ON a.address = b.address AND a.s_suppkey < b.s_suppkey")
 def j02_shared_address(spark, d):
-    s = table(spark, d, "supplier")
-    left = s.select(F.col("s_suppkey").alias("a"), F.col("s_nationkey").alias("address"))
-    right = s.select(F.col("s_suppkey").alias("b"), F.col("s_nationkey").alias("address"))
-    return left.join(right, "address").where("a < b").select("a", "b", "address")
+    return resolve.pairs_in_blocks(addressed(spark, d), LARGEST_ADDRESS)
 
 
 @query(
-    "WITH p AS (SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey) SELECT a, b FROM p "
+    f"WITH {ADDRESS_SQL}, p AS (SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM addressed a JOIN addressed b ON a.address = b.address AND a.s_suppkey < b.s_suppkey) SELECT a, b FROM p "
     "WHERE EXISTS (SELECT 1 FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey WHERE x.l_suppkey = p.a AND y.l_suppkey = p.b)"
 )
 def j03_co_occurrence_guard(spark, d):

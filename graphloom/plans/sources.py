@@ -7,28 +7,41 @@ from pyspark.sql import functions as F
 
 from graphloom.plans.registry import query
 from graphloom.session import new_path
-from graphloom.sources import files, html
+from graphloom.sources import files, html, specs
 from graphloom.sources.relational import table
 from graphloom.streaming import events as streams
 
 
-@query("SELECT n_name, n_regionkey FROM nation WHERE lower(n_name) IN ('nation_1', 'nation_2', 'nation_7')")
+_SPECS_SQL = "specs AS (SELECT DISTINCT source AS id, ['feed', 'register', 'leak'][ord(right(source, 1)) % 3 + 1] AS adapter, ['hourly', 'daily', 'weekly'][ord(right(source, 1)) % 3 + 1] AS cadence FROM documents WHERE source IS NOT NULL)"
+
+
+def _specs(spark, d):
+    """The documents' sources as a registry."""
+    at = F.ascii(F.right("source", F.lit(1))) % 3
+    pick = lambda *values: F.get(F.array(*map(F.lit, values)), at)
+    sources = table(spark, d, "documents").select("source").where("source IS NOT NULL").distinct()
+    return sources.select(F.col("source").alias("id"), pick("feed", "register", "leak").alias("adapter"), pick("hourly", "daily", "weekly").alias("cadence"))
+
+
+@query(f"WITH {_SPECS_SQL} SELECT id, adapter, cadence FROM specs WHERE id IN ('src1', 'src11') OR adapter = 'leak'")
 def s01_resolve_specs(spark, d):
-    return table(spark, d, "nation").where(files.matches_filters({"n_name": ["NATION_1", "nation_2", "Nation_7"]})).select("n_name", "n_regionkey")
+    """Sources asked for by their id or by their adapter."""
+    return specs.resolve(_specs(spark, d), ["SRC1", "src11", "Leak", "no such source"])
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')")
+@query(f"WITH {_SPECS_SQL} SELECT 'hourly' AS tier, id FROM specs WHERE cadence = 'hourly' UNION ALL SELECT 'daily', id FROM specs WHERE cadence = 'daily' UNION ALL SELECT 'weekly', id FROM specs")
 def s02_cadence(spark, d):
-    """The two quickest tiers of a source dimension."""
-    tier = F.when(F.col("o_orderpriority") == "1-URGENT", "hourly").when(F.col("o_orderpriority") == "2-HIGH", "daily").otherwise("weekly")
-    return table(spark, d, "orders").where(tier.isin("hourly", "daily")).select("o_orderkey")
+    """What the runs of each tier take; an unknown one is an error."""
+    registry = _specs(spark, d)
+    runs = [specs.for_tier(registry, tier).select(F.lit(tier).alias("tier"), "id") for tier in ("hourly", "daily", "weekly")]
+    return runs[0].unionAll(runs[1]).unionAll(runs[2])
 
 
-@query("SELECT CAST(p_partkey AS VARCHAR) AS part_key, p_name AS part_name, CAST(p_size AS VARCHAR) AS size FROM part WHERE p_size >= 25")
+@query("SELECT CAST(p_partkey AS VARCHAR) AS part_key, p_name AS part_name, CAST(p_size AS VARCHAR) AS size FROM part")
 def s03_delimited_file(spark, d):
     """Written as a tab-separated file with free-form headers, then read by sniffing and aliases."""
     path = new_path(spark, "tsv")
-    table(spark, d, "part").where("p_size >= 25").select(F.col("p_partkey").alias("Part Key"), F.col("p_name").alias("Part-Name"), F.col("p_size").alias("SIZE (mm)")).write.option("header", True).option("sep", "\t").csv(path)
+    table(spark, d, "part").select(F.col("p_partkey").alias("Part Key"), F.col("p_name").alias("Part-Name"), F.col("p_size").alias("SIZE (mm)")).write.option("header", True).option("sep", "\t").csv(path)
     return files.read_delimited(spark, path, {"size": ["length", "size_mm"]}).select("part_key", "part_name", "size")
 
 
@@ -40,10 +53,11 @@ def s07_json_envelope(spark, d):
     return table(spark, d, "customer").select(F.explode(records).alias("r")).select(F.col("r.c_custkey").alias("company"), F.explode("r.officers").alias("officer"))
 
 
-@query("WITH p AS (SELECT a.c_nationkey AS org, a.c_name AS a, b.c_name AS b, row_number() OVER (PARTITION BY a.c_nationkey ORDER BY a.c_name, b.c_name) AS k FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_name < b.c_name WHERE a.c_custkey < 500 AND b.c_custkey < 500 AND a.c_nationkey IN (SELECT c_nationkey FROM customer WHERE c_custkey < 500 GROUP BY 1 HAVING count(*) <= 24)) SELECT org, a, b FROM p WHERE k <= 12")
+@query("WITH c AS (SELECT c_nationkey || '/' || c_mktsegment || '/' || floor(c_acctbal / 1000)::BIGINT AS org, c_name FROM customer), p AS (SELECT a.org, a.c_name AS a, b.c_name AS b, row_number() OVER (PARTITION BY a.org ORDER BY a.c_name, b.c_name) AS k FROM c a JOIN c b ON a.org = b.org AND a.c_name < b.c_name WHERE a.org IN (SELECT org FROM c GROUP BY 1 HAVING count(*) <= 24)) SELECT org, a, b FROM p WHERE k <= 12")
 def s13_co_members(spark, d):
     """Pairs of one organisation: groups of 24 at most, twelve pairs each, by name."""
-    c = table(spark, d, "customer").where("c_custkey < 500").select(F.col("c_nationkey").alias("org"), "c_name")
+    org = F.concat_ws("/", F.col("c_nationkey").cast("string"), "c_mktsegment", F.floor(F.col("c_acctbal") / 1000).cast("string"))
+    c = table(spark, d, "customer").select(org.alias("org"), "c_name")
     small = c.groupBy("org").agg(F.count("*").alias("n")).where("n <= 24").select("org")
     kept = c.join(small, "org", "left_semi")
     pairs = kept.withColumnRenamed("c_name", "a").join(kept.withColumnRenamed("c_name", "b"), "org").where("a < b")
@@ -87,11 +101,12 @@ def s35_payload_kind(spark, d):
     return table(spark, d, "pages").select("page_id", files.payload_kind(F.lit(""), F.col("url"), F.substring("html", 1, 200)).alias("kind"))
 
 
-@query("SELECT feed, url FROM (SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS feed, url, row_number() OVER (PARTITION BY regexp_extract(url, '^https?://([^/]+)', 1) ORDER BY url) AS k FROM pages WHERE page_id % 7 <> 0) WHERE k <= 3")
+@query("SELECT feed, url FROM (SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS feed, url, row_number() OVER (PARTITION BY regexp_extract(url, '^https?://([^/]+)', 1) ORDER BY url) AS k FROM pages WHERE md5(url) >= '4') WHERE k <= 3")
 def s26_feed_entries(spark, d):
+    """All pages as entries of their hosts' feeds; a quarter of the addresses is known from before."""
     p = table(spark, d, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("feed"), "url", F.lit(None).cast("timestamp").alias("published"))
-    known = p.where("page_id % 7 = 0")
-    return files.feed_entries(p.where("page_id % 7 <> 0"), known.where("false"), 3, F.lit("2000-01-01").cast("timestamp")).select("feed", "url")
+    known = p.where(F.md5("url") < "4").select("url").distinct()
+    return files.feed_entries(p, known, 3, F.lit("2000-01-01").cast("timestamp")).select("feed", "url")
 
 
 @query()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.confidence import noisy_or_all, noisy_or_sql, strength
 from graphloom.functions.vocab import edge_weight
 from graphloom.operators import rules
+from graphloom.plans.provenance import ADDRESS_SQL, j02_shared_address
 from graphloom.plans.registry import query
 from graphloom.sources import files
 from graphloom.sources.relational import EDGES_SQL, ENTITIES_SQL, OBSERVATIONS_SQL, edges, entities, observations, table
@@ -93,14 +94,13 @@ def g22_offshore_flag(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", ((F.col("s_acctbal") < 0) | F.col("s_nationkey").isin(3, 7)).alias("offshore"))
 
 
-@query("WITH p AS (SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey), t AS (SELECT DISTINCT x.l_suppkey AS a, y.l_suppkey AS b FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_suppkey < y.l_suppkey ) SELECT a, b FROM p EXCEPT SELECT a, b FROM t")
+@query(f"WITH {ADDRESS_SQL}, p AS (SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM addressed a JOIN addressed b ON a.address = b.address AND a.s_suppkey < b.s_suppkey), t AS (SELECT DISTINCT x.l_suppkey AS a, y.l_suppkey AS b FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_suppkey < y.l_suppkey) SELECT a, b FROM p EXCEPT SELECT a, b FROM t")
 def g36_protected_pairs(spark, d):
     """Candidates that a shared document doesn't protect from merging."""
-    s = table(spark, d, "supplier")
-    pairs = s.select(F.col("s_suppkey").alias("a"), "s_nationkey").join(s.select(F.col("s_suppkey").alias("b"), "s_nationkey"), "s_nationkey").where("a < b").select("a", "b")
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").distinct()
-    together = lines.withColumnRenamed("l_suppkey", "a").join(lines.withColumnRenamed("l_suppkey", "b"), "l_orderkey").where("a < b").select("a", "b")
-    return pairs.join(together, ["a", "b"], "left_anti").distinct()
+    pairs = j02_shared_address(spark, d)
+    together = pairs.join(lines.withColumnRenamed("l_suppkey", "a"), "a").join(lines.withColumnRenamed("l_suppkey", "b"), ["b", "l_orderkey"], "left_semi")
+    return pairs.join(together.select("a", "b").distinct(), ["a", "b"], "left_anti")
 
 
 @query(f"WITH {ENTITIES_SQL} SELECT name, max(confidence) AS confidence, sum(mentions)::BIGINT AS mentions FROM entities GROUP BY 1")
