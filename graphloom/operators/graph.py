@@ -135,18 +135,21 @@ def core(edges: DataFrame, k: int) -> DataFrame:
         pairs, path = left, new_path
 
 
-def betweenness(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+def betweenness(edges: DataFrame, most_edges: int = 50_000) -> DataFrame:
     """(node, betweenness): Brandes on the undirected graph, parallel edges counting as separate paths.
 
-    Each task takes some sources over a compact copy of the adjacency, so work is spread by source; the
-    graph has to fit an executor, which ``project`` bounds. Scores are halved per pair and normalised
-    by (n - 1)(n - 2).
+    Each task takes some sources over a compact copy of the adjacency, so work is spread by source. The copy
+    is collected only after its edges are counted: a graph of more than ``most_edges`` is an error, and has to
+    go through ``project`` first. Scores are halved per pair and normalised by (n - 1)(n - 2).
     """
     import numpy as np
     import pyarrow as pa
 
     spark = edges.sparkSession
-    pairs = edges.where("src <> dst").select("src", "dst").toPandas()
+    pairs, _ = materialize(edges.where("src <> dst").select("src", "dst"), "between-pairs")
+    if pairs.count() > most_edges:
+        raise ValueError(f"betweenness takes {most_edges} edges at most; project the graph first")
+    pairs = pairs.toPandas()
     names = sorted(set(pairs.src) | set(pairs.dst))
     if len(names) < 3:
         return spark.createDataFrame([(n, 0.0) for n in names], "node string, betweenness double")
@@ -268,6 +271,60 @@ def strong_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     return done
 
 
+def cycle_groups(edges: DataFrame) -> DataFrame:
+    """(component, members): strongly connected components of two members or more, and single ones that point to themselves."""
+    parts, _ = materialize(strong_components(edges), "scc-all")
+    loops = edges.where("src = dst").select(F.col("src").alias("node")).distinct().withColumn("loop", F.lit(True))
+    groups = parts.join(loops, "node", "left").groupBy("component").agg(F.array_sort(F.collect_list("node")).alias("members"), F.bool_or(F.coalesce("loop", F.lit(False))).alias("loop"))
+    return groups.where((F.size("members") > 1) | F.col("loop")).select("component", "members")
+
+
+def shortest_cycles(edges: DataFrame, parts: DataFrame, most: int = 12) -> DataFrame:
+    """(component, cycle): the shortest cycle of ``most`` hops at most through the smallest member of each component.
+
+    All components are searched side by side, a hop a round; of equally short paths to a node the
+    lexicographically smallest goes on. A member that points to itself alone has none.
+    """
+    spark = edges.sparkSession
+    parts, _ = materialize(parts, "cycle-parts")
+    a, b = (parts.select(F.col("node").alias(x), F.col("component").alias(f"{x}_part")) for x in ("src", "dst"))
+    inside, _ = materialize(edges.where("src <> dst").select("src", "dst").distinct().join(a, "src").join(b, "dst").where("src_part = dst_part").select("src", "dst", F.col("src_part").alias("component")), "cycle-links")
+    heads = inside.groupBy("component").agg(F.min(F.least("src", "dst")).alias("head"))
+    front, path = materialize(heads.select("component", "head", F.col("head").alias("node"), F.array("head").alias("path")), "cycle-front")
+    seen, seen_path = materialize(front.select("component", "node"), "cycle-seen")
+    done = spark.createDataFrame([], "component string, cycle array<string>")
+    for _ in range(most):
+        step = front.join(inside.select("component", F.col("src").alias("node"), "dst"), ["component", "node"]).select("component", "head", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
+        best, best_path = materialize(step.groupBy("component", "head", "node").agg(F.min("path").alias("path")), "cycle-step")
+        closed, _ = materialize(best.where("node = head").select("component", F.col("path").alias("cycle")), "cycle-done")
+        done = done.unionAll(closed)
+        left = best.where("node <> head").join(closed.select("component"), "component", "left_anti").join(seen, ["component", "node"], "left_anti")
+        grown, grown_path = materialize(left.select("component", "head", "node", "path"), "cycle-front")
+        both, both_path = materialize(seen.unionAll(grown.select("component", "node")), "cycle-seen")
+        for old in (path, seen_path, best_path):
+            release(spark, old)
+        front, path, seen, seen_path = grown, grown_path, both, both_path
+        if front.isEmpty():
+            break
+    return done
+
+
+def triangles(edges: DataFrame) -> DataFrame:
+    """(a, b, c), a < b < c: three nodes that are all linked, each once.
+
+    Links go from the node of lower degree to that of higher, so no node starts many, however many it has.
+    """
+    pairs, _ = materialize(undirected(edges).select("a", "b"), "triangle-pairs")
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+    ranked = pairs.join(degree.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(degree.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
+    low = F.struct(F.col("na"), F.col("a")) < F.struct(F.col("nb"), F.col("b"))
+    links, _ = materialize(ranked.select(F.when(low, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(low, F.struct("nb", "b")).otherwise(F.struct(F.col("na").alias("nb"), F.col("a").alias("b"))).alias("v")), "triangle-links")
+    wedges = links.join(links.select("u", F.col("v").alias("w")), "u").where("v < w").select("u", F.col("v.b").alias("v"), F.col("w.b").alias("w"))
+    closed = wedges.join(links.select(F.col("u").alias("v"), F.col("v.b").alias("w")), ["v", "w"], "left_semi")
+    three = F.array_sort(F.array("u", "v", "w"))
+    return closed.select(three.alias("t")).select(*(F.get("t", F.lit(i)).alias(n) for i, n in enumerate("abc")))
+
+
 def _spread(nodes: DataFrame, links: DataFrame, source: str, target: str) -> DataFrame:
     labels, path = materialize(nodes.select("node", F.col("node").alias("label")), "scc-label")
     while True:

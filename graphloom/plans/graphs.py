@@ -11,22 +11,18 @@ from graphloom.operators.components import connected_components
 from graphloom.plans.registry import query
 from graphloom.sources.relational import EDGES_SQL, PLACES_SQL, edges, places, table
 
-#: A directed graph of nations: each supplier links its nation to those of its first few customers.
+#: A directed graph over all order lines: suppliers to customers, customers to parts and parts to suppliers, by how a line ended.
 FLOWS_SQL = """
-flows AS (SELECT 'L' || s_nationkey AS src, 'L' || c_nationkey AS dst, count(*)::DOUBLE AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity >= 49 AND l_discount >= 0.09 GROUP BY 1, 2)"""
+flows AS (SELECT CASE l_returnflag WHEN 'N' THEN 'O' || l_suppkey WHEN 'R' THEN 'P' || o_custkey ELSE 'C' || l_partkey END AS src,
+    CASE l_returnflag WHEN 'N' THEN 'P' || o_custkey WHEN 'R' THEN 'C' || l_partkey ELSE 'O' || l_suppkey END AS dst, count(*)::DOUBLE AS w
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"""
 
 
 def flows(spark, d):
-    lines = table(spark, d, "lineitem").where("l_quantity >= 49 AND l_discount >= 0.09")
-    joined = (
-        lines.join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    )
-    return joined.groupBy(F.concat(F.lit("L"), F.col("s_nationkey").cast("string")).alias("src"), F.concat(F.lit("L"), F.col("c_nationkey").cast("string")).alias("dst")).agg(
-        F.count("*").cast("double").alias("w")
-    )
+    lines = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    firm, person, part = (F.concat(F.lit(k), F.col(c).cast("string")) for k, c in (("O", "l_suppkey"), ("P", "o_custkey"), ("C", "l_partkey")))
+    ended = lambda n, r, other: F.when(F.col("l_returnflag") == "N", n).when(F.col("l_returnflag") == "R", r).otherwise(other)
+    return lines.groupBy(ended(firm, person, part).alias("src"), ended(person, part, firm).alias("dst")).agg(F.count("*").cast("double").alias("w"))
 
 
 #: A sparse chain of orders: each customer's order points to that customer's next one.
@@ -41,6 +37,22 @@ def chain(spark, d):
     return table(spark, d, "orders").withColumn("after", after).where("after IS NOT NULL").select(named(F.col("o_orderkey")).alias("src"), named(F.col("after")).alias("dst"))
 
 
+#: Each customer's orders in a ring; of every third customer only the first order points to the second.
+RINGS_SQL = """
+seat AS (SELECT o_custkey AS c, 'D' || o_orderkey AS node, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)"""
+
+
+def rings(spark, d):
+    from pyspark.sql import Window as W
+
+    by = W.partitionBy("o_custkey")
+    named = lambda c: F.concat(F.lit("D"), c.cast("string"))
+    first, ring = F.min("o_orderkey").over(by), F.col("o_custkey") % 3 != 0
+    following = F.when(ring | (F.col("o_orderkey") == first), F.lead("o_orderkey").over(by.orderBy("o_orderkey")))
+    after = F.coalesce(following, F.when(ring, first))
+    return table(spark, d, "orders").withColumn("after", after).where("after IS NOT NULL").select(named(F.col("o_orderkey")).alias("src"), named(F.col("after")).alias("dst"))
+
+
 _PLACES = PLACES_SQL + ", p AS (SELECT subject AS src, object AS dst, weight AS w FROM places)"
 
 
@@ -149,7 +161,9 @@ def g07_core(spark, d):
 
 @query()
 def g02_betweenness(spark, d):
-    return graph.betweenness(flows(spark, d)).select("node", F.round("betweenness", 6).alias("betweenness"))
+    """Of the strongest part of the graph."""
+    strong = graph.project(flows(spark, d).select("src", "dst", (F.col("w") / 10).alias("weight"), F.lit(1.0).alias("confidence")), 0.5, 300)
+    return graph.betweenness(strong).select("node", F.round("betweenness", 6).alias("betweenness"))
 
 
 @query(
@@ -161,21 +175,26 @@ def g06_articulation_points(spark, d):
     return graph.articulation_points(_places(spark, d))
 
 
+@query(f"WITH {RINGS_SQL} SELECT node, CASE WHEN c % 3 <> 0 THEN min(node) OVER (PARTITION BY c) ELSE node END AS component FROM seat WHERE c % 3 <> 0 OR (n > 1 AND pos < 2)")
+def g09_strong_components(spark, d):
+    return graph.strong_components(rings(spark, d))
+
+
 @query(
-    f"WITH RECURSIVE {FLOWS_SQL}, r AS (SELECT src AS node, src AS seen FROM flows UNION SELECT dst, dst FROM flows UNION SELECT r.node, f.dst FROM r JOIN flows f ON r.seen = f.src) "
-    "SELECT a.node, min(a.seen) AS component FROM r a JOIN r b ON a.node = b.seen AND a.seen = b.node GROUP BY 1"
+    f"WITH {RINGS_SQL}, m AS (SELECT *, min(node) OVER (PARTITION BY c) AS head FROM seat WHERE c % 3 <> 0 AND n BETWEEN 2 AND 12), h AS (SELECT *, max(CASE WHEN node = head THEN pos END) OVER (PARTITION BY c) AS hp FROM m) "
+    "SELECT head AS component, array_to_string(list(node ORDER BY (pos - hp + n) % n), '|') || '|' || head AS cycle FROM h GROUP BY head"
 )
-def g09_strong_components(spark, d):
-    return graph.strong_components(flows(spark, d))
+def g10_shortest_cycles(spark, d):
+    r = rings(spark, d)
+    found = graph.shortest_cycles(r, graph.strong_components(r))
+    return found.select("component", F.array_join("cycle", "|").alias("cycle"))
 
 
-@query(f"WITH {FLOWS_SQL}, c AS (SELECT DISTINCT list_sort([a.src, a.dst, b.dst]) AS m FROM flows a JOIN flows b ON a.dst = b.src JOIN flows c ON b.dst = c.src AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst) SELECT substring(sha1(array_to_string(m, '|')), 1, 16) AS cycle_id, array_to_string(m, '|') AS members FROM c")
-def g11_three_cycles(spark, d):
-    f = flows(spark, d).select("src", "dst")
-    a, b, c = (f.select(F.col("src").alias(f"{x}s"), F.col("dst").alias(f"{x}d")) for x in "abc")
-    found = a.join(b, (F.col("ad") == F.col("bs")) & (F.col("as") < F.col("bd")) & (F.col("ad") != F.col("bd"))).where(F.col("as") < F.col("ad")).join(c, (F.col("bd") == F.col("cs")) & (F.col("cd") == F.col("as")))
-    members = found.select(F.array_sort(F.array("as", "ad", "bd")).alias("m")).distinct()
-    return members.select(cycle_id(F.col("m")).alias("cycle_id"), F.array_join("m", "|").alias("members"))
+@query(f"WITH {RINGS_SQL}, m AS (SELECT c, list_sort(list(node)) AS m FROM seat WHERE c % 3 <> 0 GROUP BY c) SELECT substring(sha1(array_to_string(m, '|')), 1, 16) AS cycle_id, array_to_string(m, '|') AS members FROM m")
+def g11_ownership_cycles(spark, d):
+    """Components of more than one member, and members that point to themselves."""
+    found = graph.cycle_groups(rings(spark, d))
+    return found.select(cycle_id(F.col("members")).alias("cycle_id"), F.array_join("members", "|").alias("members"))
 
 
 @query(
@@ -208,10 +227,7 @@ def g16_control_walk(spark, d):
     f"WITH {FLOWS_SQL}, u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM flows WHERE src <> dst) SELECT x.a AS a, x.b AS b, y.b AS c FROM u x JOIN u y ON x.b = y.a JOIN u z ON z.a = x.a AND z.b = y.b"
 )
 def g28_triangles(spark, d):
-    u = graph.undirected(flows(spark, d)).select("a", "b")
-    y = u.select(F.col("a").alias("b"), F.col("b").alias("c"))
-    z = u.select("a", F.col("b").alias("c"))
-    return u.join(y, "b").join(z, ["a", "c"], "left_semi").select("a", "b", "c")
+    return graph.triangles(flows(spark, d))
 
 
 @query(
