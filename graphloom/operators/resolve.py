@@ -27,7 +27,7 @@ def shared_identifier(left: str, right: str, identifiers: tuple[str, ...] = IDEN
 def blocked_pairs(rows: DataFrame, most: int = MAX_BLOCK) -> DataFrame:
     """(a, b): pairs of keys of one type that share a block of at most ``most`` members.
 
-    Larger blocks carry no identity ("Unknown") and are left to the other keys of their members. Sizes
+    What a larger block has in common tells nobody apart; its members meet in their other blocks, if at all. Sizes
     are counted by a partial aggregate before any row is paired.
     """
     blocks = rows.select("key", "entity_type", F.explode(names.block_keys(F.col("name"), F.col("entity_type"))).alias("block"))

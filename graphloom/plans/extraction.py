@@ -353,14 +353,14 @@ def f24_craft_label(spark, d):
 
 
 @query(
-    "SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'N' || (s_suppkey % 900 + 100) || 'AB' WHEN 1 THEN 'N' || (s_suppkey % 900 + 100) WHEN 2 THEN '9H-VUC' ELSE '' END AS tail FROM supplier"
+    "SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'N' || (s_suppkey % 900 + 100) || 'AB' WHEN 1 THEN 'N' || (s_suppkey % 900 + 100) WHEN 2 THEN '9H-ABX' ELSE '' END AS tail FROM supplier"
 )
 def f26_normal_tail(spark, d):
     from graphloom.functions.craft import normalize_tail
 
     at, number = F.col("s_suppkey") % 4, (F.col("s_suppkey") % 900 + 100).cast("string")
-    raw = F.when(at == 0, F.concat(F.lit(" "), number, F.lit("ab "))).when(at == 1, F.concat(F.lit("n-"), number)).when(at == 2, "9h vuc").otherwise(" ")
-    return table(spark, d, "supplier").select("s_suppkey", normalize_tail(F.when(at == 2, "9h-vuc").otherwise(raw)).alias("tail"))
+    raw = F.when(at == 0, F.concat(F.lit(" "), number, F.lit("ab "))).when(at == 1, F.concat(F.lit("n-"), number)).when(at == 2, "9h abx").otherwise(" ")
+    return table(spark, d, "supplier").select("s_suppkey", normalize_tail(F.when(at == 2, "9h-abx").otherwise(raw)).alias("tail"))
 
 
 @query(

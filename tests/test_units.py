@@ -131,7 +131,7 @@ def test_conflicts(spark):
 
 def test_resolution(spark):
     rows = spark.createDataFrame(
-        [("k1", "Kastelion Overseas Ltd", "organization", 5, 0.9), ("k2", "Kastelion Oversea Ltd", "organization", 2, 0.9), ("k3", "Other Firm", "organization", 9, 0.9)],
+        [("k1", "Brelandia Overseas Ltd", "organization", 5, 0.9), ("k2", "Brelandia Oversea Ltd", "organization", 2, 0.9), ("k3", "Other Firm", "organization", 9, 0.9)],
         "key string, name string, entity_type string, mentions long, confidence double",
     )
     accepted = resolve.decide(resolve.score_pairs(resolve.blocked_pairs(rows), rows))
