@@ -209,20 +209,6 @@ def g14_blend(spark, d):
     return graph.blend(x).select("node", "score")
 
 
-@query(
-    f"WITH {EDGES_SQL}, e AS (SELECT subject, object, greatest(weight, confidence) AS s FROM edges WHERE confidence >= 0.85), w AS (SELECT a.subject AS person, b.object AS target, max(a.s * b.s * 0.7) AS influence, count(*) AS ways "
-    "FROM e a JOIN e b ON a.object = b.subject WHERE a.subject LIKE 'P%' GROUP BY 1, 2) SELECT person, target, round(influence, 4) AS influence, ways FROM w WHERE influence >= 0.4 ORDER BY round(influence, 4) DESC, person, target LIMIT 500"
-)
-def g16_control_walk(spark, d):
-    """Two-step influence: strongest product of edge strengths with decay, top 500."""
-    e = edges(spark, d).where("confidence >= 0.85").select("subject", "object", F.greatest("weight", "confidence").alias("s"))
-    first = e.where("subject LIKE 'P%'").select(F.col("subject").alias("person"), F.col("object").alias("via"), F.col("s").alias("s1"))
-    second = e.select(F.col("subject").alias("via"), F.col("object").alias("target"), F.col("s").alias("s2"))
-    walked = first.join(second, "via").groupBy("person", "target").agg(F.max(F.col("s1") * F.col("s2") * 0.7).alias("raw"), F.count("*").alias("ways"))
-    kept = walked.where("raw >= 0.4").select("person", "target", F.round("raw", 4).alias("influence"), "ways")
-    return kept.orderBy(F.desc("influence"), "person", "target").limit(500)
-
-
 @query(
     f"WITH {FLOWS_SQL}, u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM flows WHERE src <> dst) SELECT x.a AS a, x.b AS b, y.b AS c FROM u x JOIN u y ON x.b = y.a JOIN u z ON z.a = x.a AND z.b = y.b"
 )
