@@ -174,7 +174,7 @@ def test_protected_pairs_see_every_line(spark, tmp_path):
     """Any shared order protects a pair, whatever the quantity of its lines."""
     from graphloom.plans.support import g36_protected_pairs
 
-    spark.createDataFrame([(k, 1) for k in (1, 2, 3, 4)] + [(5, 2)], "s_suppkey long, s_nationkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(k, 1, 250.0) for k in (1, 2, 3, 4)] + [(5, 2, 250.0)], "s_suppkey long, s_nationkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
     lines = [(10, 1, 50.0), (10, 2, 50.0), (11, 1, 3.0), (11, 3, 3.0), (12, 2, 50.0), (12, 4, 48.0), (13, 3, 1.0), (13, 5, 1.0)]
     spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {tuple(r) for r in g36_protected_pairs(spark, str(tmp_path)).collect()}
