@@ -57,11 +57,19 @@ def names_found(texts: DataFrame, **names: str) -> DataFrame:
 _TYPES = {"ORG": "Organization", "PERSON": "Person", "GPE": "Location", "CRAFT": "Craft"}
 
 
-def statements_found(texts: DataFrame, **names: str) -> DataFrame:
-    """Statements: sentence, subject, subject_type, verb, object, object_type, preposition, passive, negated, hedged, distance, clause."""
+def statements_found(texts: DataFrame, once: bool = False, **names: str) -> DataFrame:
+    """Statements: sentence, subject, subject_type, verb, object, object_type, preposition, passive, negated, hedged, distance, clause.
+
+    With ``once``, of a text's statements with equal subjects, verbs and objects the first is kept.
+    """
 
     def find(text: str) -> Iterator[tuple]:
+        said = set()
         for s in statements.statements(text):
+            if once:
+                if (same := (s.subject.text, s.verb, s.object.text)) in said:
+                    continue
+                said.add(same)
             yield s.sentence, s.subject.text, _TYPES[s.subject.label], s.verb, s.object.text, _TYPES[s.object.label], s.preposition, s.passive, s.negated, s.hedged, s.distance, s.clause
 
     schema = "sentence int, subject string, subject_type string, verb string, object string, object_type string, preposition string, passive boolean, negated boolean, hedged boolean, distance int, clause string"

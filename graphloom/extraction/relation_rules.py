@@ -100,25 +100,26 @@ def forms(lemma: str) -> set[str]:
     return {lemma, lemma + ("es" if lemma.endswith(("s", "x", "ch", "sh")) else "s"), lemma + ("d" if lemma.endswith("e") else "ed")}
 
 
-def table(spark: SparkSession, kind: str, extra: tuple = ()) -> DataFrame:
-    """Rules of one kind (``verb``, ``noun``, ``preposition``), one row a word; ``extra`` ones come behind those of their priority."""
+def _listed(kind: str, extra: tuple = ()) -> list[tuple]:
     rules = {"verb": VERBS + GERMAN_VERBS, "noun": NOUNS, "preposition": PREPOSITIONS}[kind] + tuple(extra)
     rows = []
     for number, (predicate, words, subjects, objects, evidence, priority, reverse) in enumerate(rules):
         some = {f for w in words.split() for f in (forms(w) if rules[number] not in GERMAN_VERBS else {w})} if kind == "verb" else set(words.split("|"))
         rows += [(w, predicate, subjects, objects, evidence, priority, reverse, number) for w in sorted(some)]
-    return spark.createDataFrame(rows, "word string, predicate string, subjects string, objects string, evidence double, priority int, reverse boolean, number int")
+    return rows
+
+
+def table(spark: SparkSession, kind: str, extra: tuple = ()) -> DataFrame:
+    """Rules of one kind (``verb``, ``noun``, ``preposition``), one row a word; ``extra`` ones come behind those of their priority."""
+    return spark.createDataFrame(_listed(kind, extra), "word string, predicate string, subjects string, objects string, evidence double, priority int, reverse boolean, number int")
 
 
 def normal_verb(phrase: Column) -> Column:
     """A verb phrase without auxiliaries, a trailing particle and a regular ending."""
     plain = F.lower(F.trim(F.regexp_replace(F.coalesce(phrase, F.lit("")), "\\s+", " ")))
     bare = F.trim(F.regexp_replace(F.regexp_replace(plain, f"^(?:(?:{'|'.join(AUXILIARIES)}) +)+", ""), f" +(?:{'|'.join(PARTICLES)})$", ""))
-    out = bare
-    for ending, other in (("s", ""), ("es", ""), ("ed", ""), ("ing", ""), ("ied", "y"), ("ies", "y")):  # the last that fits is tried first
-        stem = F.concat(F.substring(bare, F.lit(1), F.length(bare) - len(ending)), F.lit(other))
-        out = F.when(bare.endswith(ending) & (F.length(bare) - len(ending) >= 3), stem).otherwise(out)
-    return out
+    # the longest ending that leaves three letters; each pattern reads the one before once
+    return F.regexp_replace(F.regexp_replace(bare, "(?s)^(.{3,})(?:ied|ies)\\z", "$1y"), "(?s)^(.{3,}?)(?:ing|ed|es|s)\\z", "$1")
 
 
 def single_consonant(stem: Column) -> Column:
@@ -153,14 +154,60 @@ def together(left: Column, right: Column, distance: Column, most: int = 30) -> t
     return type_default(left, right, generic=True), F.round(F.greatest(F.lit(0.4), 1.0 - near), 4)
 
 
-def _best(rows: DataFrame, words: Column, rules: DataFrame) -> DataFrame:
-    """Rows (id, subject_type, object_type) with the struct ``rule`` of the best rule for one of their words."""
-    cells = rows.select("id", "subject_type", "object_type", F.explode(F.array_distinct(words)).alias("word"))
-    # the table has some hundred rows, so it is broadcast; of a row's matches the best is kept before any shuffle
-    fits = lambda kind, allowed: (F.col(allowed) == "") | F.contains(F.col(allowed), F.substring(F.col(kind), 1, 1))
-    met = cells.join(F.broadcast(rules), "word").where(fits("subject_type", "subjects") & fits("object_type", "objects"))
-    best = met.groupBy("id").agg(F.max(F.struct("priority", (-F.col("number")).alias("order"), "predicate", "evidence", "reverse")).alias("rule"))
-    return rows.join(best, "id", "left")
+def _best(rows: DataFrame, words: list[Column], kind: str, extra: tuple) -> DataFrame:
+    """Rows (subject_type, object_type) with ``_words`` and the struct ``_rule`` of the best rule for one of them.
+
+    The table has some hundred words, so it is broadcast, once a word of ``words``, with the best rule of each pair of
+    first letters of the types: no row of ``rows`` is shuffled or met again.
+    """
+    listed = _listed(kind, extra)
+    letters = ["", *sorted({x for r in listed for x in r[2] + r[3]}), "-"]  # no type at all fits all rules, "-" those for any
+    best: dict[str, list] = {}
+    for word, predicate, subjects, objects, evidence, priority, reverse, number in listed:
+        of_word = best.setdefault(word, [None] * len(letters) ** 2)
+        for i, pair in enumerate((a, b) for a in letters for b in letters):
+            if all(not allowed or x in allowed for x, allowed in zip(pair, (subjects, objects))):
+                new = (priority, -number, predicate, evidence, reverse)
+                of_word[i] = new if of_word[i] is None else max(of_word[i], new)
+    rules = rows.sparkSession.createDataFrame(list(best.items()), "word string, rules array<struct<priority: int, order: int, predicate: string, evidence: double, reverse: boolean>>")
+    place = lambda t: F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, letters[:-1])), F.substring(t, 1, 1)), F.lit(0)), F.lit(len(letters))).cast("int") - 1
+    out = rows.withColumns({f"_w{i}": w for i, w in enumerate(words)} | {"_pair": place("subject_type") * len(letters) + place("object_type")})
+    for i in range(len(words)):
+        out = out.join(F.broadcast(rules.select(F.col("word").alias(f"_w{i}"), F.col("rules").alias(f"_r{i}"))), f"_w{i}", "left")
+    met = [F.get(f"_r{i}", F.col("_pair")) for i in range(len(words))]
+    return out.withColumns({"_rule": F.greatest(*met) if len(met) > 1 else met[0], "_words": F.array(*(F.col(f"_w{i}") for i in range(len(words))))})
+
+
+def decided(rows: DataFrame, kind: str, extra: tuple = ()) -> DataFrame:
+    """``rows`` with the struct ``decision`` of what ``decide`` returns for each, row by row."""
+    own = rows.columns
+    rows = rows.withColumns(dict(zip(("_hedged", "_negated"), cues(F.col("sentence")))))  # before the rules are met: read once
+    raw = F.lower(F.trim(F.coalesce(F.col("word"), F.lit(""))))
+    if kind == "verb":
+        rows = rows.withColumns({"_raw": raw, "_head": F.element_at(F.split(raw, " +"), 1)})
+        rows = rows.withColumns({"_stem": normal_verb(F.col("_raw")), "_head_stem": normal_verb(F.col("_head"))})
+        words = [F.col("_raw"), F.col("_stem"), single_consonant(F.col("_stem")), F.col("_head"), F.col("_head_stem"), single_consonant(F.col("_head_stem"))]
+    else:
+        words = [raw]
+    found = _best(rows, words, kind, extra).withColumn("_doubt", F.when(F.col("_hedged"), 0.75).otherwise(1.0))
+    default = {"verb": 0.6, "noun": 0.55, "preposition": 0.5}[kind]
+    moves = F.lit(False)
+    if kind == "verb":
+        moving = F.arrays_overlap("_words", F.array(*(F.lit(f) for w in TRANSFERS for f in sorted(forms(w)))))
+        moves = F.col("preposition").isin("to", "into", "toward", "towards") & moving
+
+    def decision(rule: Column) -> Column:
+        transfer = moves & (rule.isNull() | (rule["priority"] < 5))
+        by_rule = F.greatest(F.lit(0.05), rule["evidence"] * F.when(F.col("passive"), 0.95).otherwise(1.0) * F.col("_doubt"))
+        return F.struct(
+            F.when(transfer, "TRANSFERRED_TO").when(rule.isNotNull(), rule["predicate"]).otherwise(type_default(F.col("subject_type"), F.col("object_type"))).alias("predicate"),
+            F.when(transfer | rule.isNull(), False).otherwise(rule["reverse"]).alias("reverse"),
+            F.round(F.when(transfer, 0.85 * F.col("_doubt")).when(rule.isNotNull(), by_rule).otherwise(default), 4).alias("evidence"),
+            F.col("_hedged").alias("hedged"), F.col("_negated").alias("negated"), F.when(transfer | rule.isNotNull(), kind).otherwise("type_default").alias("matched_on"),
+        )
+
+    # one decision a row, but as an exploded list: filters on it then don't repeat it, and the generated code stays small enough to be compiled
+    return found.select(*own, F.explode(F.transform(F.array("_rule"), decision)).alias("decision"))
 
 
 def decide(rows: DataFrame, kind: str, extra: tuple = ()) -> DataFrame:
@@ -171,26 +218,7 @@ def decide(rows: DataFrame, kind: str, extra: tuple = ()) -> DataFrame:
     preposition. Doubt takes a quarter of the evidence, a passive a twentieth. Returns id, predicate, reverse,
     evidence, hedged, negated, matched_on.
     """
-    hedged, negated = cues(F.col("sentence"))
-    raw = F.lower(F.trim(F.coalesce(F.col("word"), F.lit(""))))
-    words = F.array(raw)
-    if kind == "verb":
-        head = F.element_at(F.split(raw, " +"), 1)
-        words = F.array(raw, normal_verb(raw), single_consonant(normal_verb(raw)), head, normal_verb(head), single_consonant(normal_verb(head)))
-    found = _best(rows, words, table(rows.sparkSession, kind, extra)).withColumns({"hedged": hedged, "negated": negated, "doubt": F.when(hedged, 0.75).otherwise(1.0)})
-    default = {"verb": 0.6, "noun": 0.55, "preposition": 0.5}[kind]
-    transfer = F.lit(False)
-    if kind == "verb":
-        moving = F.arrays_overlap(words, F.array(*(F.lit(f) for w in TRANSFERS for f in sorted(forms(w)))))
-        transfer = F.col("preposition").isin("to", "into", "toward", "towards") & moving & (F.col("rule").isNull() | (F.col("rule.priority") < 5))
-    by_rule = F.greatest(F.lit(0.05), F.col("rule.evidence") * F.when(F.col("passive"), 0.95).otherwise(1.0) * F.col("doubt"))
-    return found.select(
-        "id",
-        F.when(transfer, "TRANSFERRED_TO").when(F.col("rule").isNotNull(), F.col("rule.predicate")).otherwise(type_default(F.col("subject_type"), F.col("object_type"))).alias("predicate"),
-        F.when(transfer | F.col("rule").isNull(), False).otherwise(F.col("rule.reverse")).alias("reverse"),
-        F.round(F.when(transfer, 0.85 * F.col("doubt")).when(F.col("rule").isNotNull(), by_rule).otherwise(default), 4).alias("evidence"),
-        "hedged", "negated", F.when(transfer | F.col("rule").isNotNull(), kind).otherwise("type_default").alias("matched_on"),
-    )
+    return decided(rows, kind, extra).select("id", "decision.*")
 
 
 def evidence_score(evidence: Column, distance: Column, passive: Column, embedded: Column | None = None) -> Column:
@@ -206,10 +234,13 @@ def relations(statements: DataFrame, weight: float = 0.4, least: float = 0.05) -
     Denied statements, self-loops and what falls under ``least`` are left out; a passive and a reversing rule
     each turn the arguments round, and predicates without a direction have theirs in order.
     """
-    decided = decide(statements.select("id", F.col("verb").alias("word"), "subject_type", "object_type", "sentence", "preposition", F.lit(False).alias("passive")), "verb")
+    said = statements.where(~F.col("negated") & (F.col("subject") != F.col("object"))).select(
+        "id", "subject", "object", F.col("verb").alias("word"), "subject_type", "object_type", "sentence", "preposition", F.lit(False).alias("passive"),
+        F.col("passive").alias("turned"), "distance", F.col("hedged").alias("doubted"),
+    )
+    joined = decided(said, "verb").select("id", "subject", "object", F.col("turned").alias("passive"), "distance", "doubted", "decision.*")
+    joined = joined.where(~F.col("negated")).withColumn("hedged", F.col("hedged") | F.col("doubted"))
     turn = F.col("reverse") | F.col("passive")
-    said = statements.where(~F.col("negated") & (F.col("subject") != F.col("object"))).select("id", "subject", "object", "passive", "distance", F.col("hedged").alias("doubted"))
-    joined = said.join(decided, "id").where(~F.col("negated")).withColumn("hedged", F.col("hedged") | F.col("doubted"))
     a, b = F.when(turn, F.col("object")).otherwise(F.col("subject")), F.when(turn, F.col("subject")).otherwise(F.col("object"))
     confidence = F.round(F.least(F.lit(1.0), weight * evidence_score(F.col("evidence"), F.col("distance"), F.col("passive"))), 6)
     loose = F.col("predicate").isin(*SYMMETRIC)

@@ -58,9 +58,13 @@ def x03_craft_summary(spark, d):
 _VERBS = ("owns", "acquired", "is controlled by", "allegedly funded", "sold", "is based in", "never owned")
 
 
-def statement_texts(spark, d):
-    """One sentence an order line about a firm and another, or a place."""
+def statement_texts(spark, d, once: bool = False):
+    """One sentence an order line about a firm and another, or a place; with ``once``, equal ids are one row, dealt over all cores."""
     line = table(spark, d, "lineitem")
+    if once:
+        named = ("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+        line = line.select(*named).repartition(tasks, *named).distinct()
     a = F.concat(F.lit("Firm"), F.col("l_suppkey").cast("string"), F.lit(" Holdings"))
     b = F.concat(F.lit("Part"), F.col("l_partkey").cast("string"), F.lit(" Ltd"))
     place = F.concat(F.lit("Port"), (F.col("l_partkey") % 40).cast("string"))
@@ -110,7 +114,8 @@ evident AS (SELECT *, round(least(1.0, greatest(0.05, base * CASE WHEN far > 6 T
     f"WITH {_RELATIONS_SQL} SELECT DISTINCT doc_id, CASE n WHEN 3 THEN b ELSE a END AS subject, predicate, CASE n WHEN 3 THEN a ELSE b END AS object, round(least(1.0, 0.4 * e), 6) AS confidence, n = 4 AS hedged FROM evident"
 )
 def x13_typed_relations(spark, d):
-    found = frames.statements_found(statement_texts(spark, d)).dropDuplicates(["doc_id", "subject", "verb", "object"])
+    """An id names its text, so lines that repeat one are dropped first, and a text's repeated statements where it is read: what is found isn't shuffled."""
+    found = frames.statements_found(statement_texts(spark, d, once=True), once=True)
     typed = found.withColumn("id", F.col("doc_id")).withColumn("sentence", F.col("clause"))
     return rules.relations(typed).select(F.col("id").alias("doc_id"), "subject", "predicate", "object", "confidence", "hedged")
 
