@@ -87,13 +87,25 @@ def greedy_matching(accepted: DataFrame) -> DataFrame:
     return rest if taken is None else taken
 
 
-def pairs_in_blocks(rows: DataFrame, most: int = MAX_BLOCK) -> DataFrame:
-    """(a, b) of rows (key, block, entity_type): pairs inside a block of ``most`` rows at most whose types agree or are unknown."""
-    sizes = rows.groupBy("block").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("n") <= most))
-    small = rows.join(sizes, "block")
-    a, b = (small.select("block", F.col("key").alias(x), F.col("entity_type").alias(f"{x}_type")) for x in "ab")
+#: Members of a cell of a block: what one task pairs with another such cell at a time.
+CELL = 1000
+
+
+def pairs_in_blocks(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """(a, b) of rows (key, block, entity_type): pairs inside a block whose types agree or are unknown; with ``most``, only of blocks of so many rows.
+
+    Blocks are dealt into cells of about ``CELL`` rows and cells are paired, so that no task gets a large block whole. A
+    pair comes as often as its rows share a block.
+    """
+    sizes = rows.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > 1 if most is None else (F.col("n") > 1) & (F.col("n") <= most))
+    cells = F.ceil(F.col("n") / CELL)
+    dealt = rows.join(sizes, "block").select("block", "key", "entity_type", F.pmod(F.xxhash64("key"), cells).alias("cell"), F.sequence(F.lit(0).cast("long"), cells - 1).alias("others"))
+    a = dealt.select("block", F.col("cell").alias("i"), F.explode("others").alias("j"), F.col("key").alias("a"), F.col("entity_type").alias("a_type"))
+    b = dealt.select("block", F.explode("others").alias("i"), F.col("cell").alias("j"), F.col("key").alias("b"), F.col("entity_type").alias("b_type"))
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * rows.sparkSession.sparkContext.defaultParallelism)
+    a = a.repartition(tasks, "block", "i", "j")  # few rows make many pairs, so the number of tasks doesn't follow the bytes
     free = (F.col("a_type") == F.col("b_type")) | (F.col("a_type") == "") | (F.col("b_type") == "")
-    return a.join(b, "block").where((F.col("a") < F.col("b")) & free).select("a", "b").distinct()
+    return a.join(b, ["block", "i", "j"]).where((F.col("a") < F.col("b")) & free).select("a", "b")
 
 
 #: Nodes and edges that a store holds, where it stops taking more, and the share it aims at.

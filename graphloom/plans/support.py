@@ -98,7 +98,7 @@ def g22_offshore_flag(spark, d):
 def g36_protected_pairs(spark, d):
     """Candidates that a shared document doesn't protect from merging."""
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").distinct()
-    pairs = j02_shared_address(spark, d)
+    pairs = j02_shared_address(spark, d).distinct()
     together = pairs.join(lines.withColumnRenamed("l_suppkey", "a"), "a").join(lines.withColumnRenamed("l_suppkey", "b"), ["b", "l_orderkey"], "left_semi")
     return pairs.join(together.select("a", "b").distinct(), ["a", "b"], "left_anti")
 

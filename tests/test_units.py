@@ -190,3 +190,14 @@ def test_matching_goes_on_until_no_pair_is_left(spark, monkeypatch):
     monkeypatch.setattr(resolve, "score_pairs", lambda *_: scored)
     got = {tuple(r) for r in w03_mutual_best(spark, "/root/testdata/sf0.001").collect()}
     assert got == {("A", "B", 0.99), ("C", "D", 0.95)}
+
+
+def test_pairs_in_blocks(spark, monkeypatch):
+    """Every block is paired whole, however large; a bound that is given holds, and cells lose or repeat no pair."""
+    members = [(f"k{i:03}", "large", "") for i in range(500)] + [("x", "small", "P"), ("y", "small", "O"), ("z", "small", ""), ("alone", "one", "")]
+    rows = spark.createDataFrame(members, "key string, block string, entity_type string")
+    for cell in (1000, 70):
+        monkeypatch.setattr(resolve, "CELL", cell)
+        pairs = resolve.pairs_in_blocks(rows)
+        assert pairs.count() == pairs.distinct().count() == 500 * 499 // 2 + 2
+    assert {(r.a, r.b) for r in resolve.pairs_in_blocks(rows, 400).collect()} == {("x", "z"), ("y", "z")}
