@@ -200,16 +200,20 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, target: str =
     if not positives or not negatives:
         return lexicon
     counted = map_arrow(one, "entry string, toxic long, clean long", _counts, ["doc_id", "y", "text"])
-    summed, _ = materialize(counted.groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "toxic-entries")
+    summed = counted.groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     least = max(3, positives // 200)
     rate = (F.col("toxic") / positives) / ((F.col("clean") + 0.5) / (negatives + 1))
-    ranked = summed.where(F.col("toxic") >= least).where((rate >= 50) | ((F.col("clean") == 0) & (rate >= 10)))
-    candidates = ranked.orderBy(F.desc("toxic"), "clean", "entry").limit(MAX_TERMS * 10).collect()
+    ranked = (F.col("toxic") >= least) & ((rate >= 50) | ((F.col("clean") == 0) & (rate >= 10)))
+    is_seed = F.col("entry").isin(*lexicon.terms)
+    # read once and written nowhere: seeds stand before the ranked entries, so the limit leaves none of either out
+    found = summed.select("*", ranked.alias("ranked"), is_seed.alias("seed")).where("ranked OR seed")
+    found = found.orderBy(F.desc("seed"), F.desc("toxic"), "clean", "entry").limit(MAX_TERMS * 10 + len(lexicon.terms)).collect()
+    candidates = sorted((r for r in found if r.ranked), key=lambda r: (-r.toxic, r.clean, r.entry))[: MAX_TERMS * 10]
     weight = {r.entry: float(np.log(r.toxic / positives) - np.log((r.clean + 0.5) / (negatives + 1))) for r in candidates}
     chosen = _greedy(one, weight, least)
     if chosen:
         # a seed term that clean texts hold as often as toxic ones has no place; one never seen stays
-        seen = {r.entry: (r.toxic, r.clean) for r in summed.where(F.col("entry").isin(*lexicon.terms)).collect()}
+        seen = {r.entry: (r.toxic, r.clean) for r in found if r.seed}
         seeds = {k: v for k, v in lexicon.terms.items() if seen.get(k, (1, 0))[0] > seen.get(k, (1, 0))[1]}
         lexicon = Lexicon(seeds | {k: weight[k] for k in chosen})
     shared = spark.sparkContext.broadcast(lexicon)  # bounded by MAX_TERMS

@@ -224,6 +224,21 @@ def test_folding_and_exceptions():
     assert hit("") == hit(None) == 0
 
 
+def test_toxicity_entries_are_written_nowhere(spark, monkeypatch):
+    # clean texts hold "clown" more often than toxic ones, so that seed goes; "moron" only toxic texts hold; "scum" nobody does
+    rng = random.Random(6)
+    word = lambda: rng.choice("bcdfg") + rng.choice("aeou") + rng.choice("mnrv") + rng.choice("aeou")
+    rows = [(i, " ".join(word() for _ in range(30)) + (" clown" if i % 8 in (0, 1, 4) else "") + (" moron quuxy" if i % 2 else ""), i % 2) for i in range(800)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    written, write = [], toxicity.materialize
+    monkeypatch.setattr(toxicity, "materialize", lambda df, name: (written.append(name), write(df, name))[1])
+    terms = toxicity.learn(spark, docs, labels).terms
+    assert written == ["toxic-sample", "toxic-distinct"]
+    assert toxicity.fold("clown") not in terms and terms[toxicity.fold("scum")] == 2.0
+    assert "quuxy" in terms and toxicity.fold("moron") in terms
+
+
 def test_toxicity_learns_stems(spark):
     rng = random.Random(5)
     clean = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega"]) + rng.choice("xyz") for _ in range(40))
