@@ -1,16 +1,16 @@
 """Exact top-k search on an impact-ordered, score-at-a-time index (after Anh and Moffat, 2006).
 
-Vectors are packed into blocks. In a block, each dimension has two lists of posting segments, one by
-falling and one by rising value: a segment holds the members whose value falls in one quantised step,
-and all of them get the same impact. A query's impacts are its component times the segment's
-distance from the far end of the list, so none is negative. Segments are processed by descending
-impact, an eighth of the postings at a time, until a lower bound of the k-th best score proves that the members
-that can still enter are so few that scoring them exactly is less than what is left of the lists. Every query is searched in one block first, and the
-k-th score found there is such a lower bound in all others. Where the proof never comes, all segments are used up: the
-result is the same. On dense vectors without clusters that is the usual case: the bounds of many
-dimensions together are loose, and the index then does more work than plain products would.
-
-The index is shuffled once. Queries are sent to every block, so what is moved is the index and the
+Vectors are packed into blocks. In a block, each dimension has a list of posting segments by rising value: a
+segment holds the members whose value falls in one quantised step, and all of them get the same impact.
+Twice a score is (|w|^2 t + |v|^2 / t) - sum of (t w - v)^2 / t, whatever t is: a query's impact on a segment is
+the least (t w - v)^2 of its values, what its members lose for certain. Segments are processed by descending
+impact, so the most that a member's score can still be is what its length allows less what it has lost. The members
+that lost least so far are scored exactly, and the k-th of them is a lower bound of the k-th best score; a member that can't reach it is out. A band
+of the postings is used at a time, until a fourth of the members at most are left, which are scored exactly. Where that
+never comes, all segments are used up: the result is the same. Every query is searched in one block first, and the
+k-th score found there is such a lower bound in all others.
+
+The index is shuffled once, a block to a task. Queries are sent to every block, so what is moved is the index and the
 queries times the blocks, and work is that of the stated query set against all rows.
 
 Defined cases: vectors that are null or hold a null or non-finite component take no part; vectors of
@@ -38,10 +38,14 @@ from graphloom.session import materialize
 SCALE, K, EVERY = 64, 20, 20
 #: Members of an index block, queries of a query block, and quantised steps of a list at most.
 BLOCK, QUERIES, STEPS = 16_384, 1_024, 256
-#: Bands in which a query's segments are used up, a proof being tried after each.
-BANDS = 8
+#: Steps that a query's impacts are ranked by, and shares of the postings by which a proof is tried.
+LEVELS = 4_096
+SHARES = (1 / 8, 3 / 16, 1 / 4, 5 / 16, 3 / 8, 1 / 2, 3 / 4, 1)
+#: A band is a sixteenth of the postings where proofs are likely, and a posting takes the time of about four exact products:
+#: one in so many members is scored in the time of such a band.
+FEWER = 4
 #: Floats below which products and sums of whole numbers are exact.
-_EXACT = float(2**53)
+_EXACT, _EXACT_32 = float(2**53), float(2**24)
 
 
 @dataclass
@@ -62,6 +66,11 @@ class Index:
     high: np.ndarray
     first: np.ndarray
     floats: np.ndarray
+    #: Squared lengths of the vectors, and room for the postings of a band.
+    norms: np.ndarray
+    room: np.ndarray
+    #: The largest component, whatever its sign.
+    peak: int
     #: Postings that the searches so far used, of those that they could have.
     used: int = 0
     asked: int = 0
@@ -70,21 +79,24 @@ class Index:
     def build(cls, ids: np.ndarray, vectors: np.ndarray) -> Index:
         n, width = vectors.shape
         postings, starts, dims, low, high, first = [], [], [], [], [], []
-        for d, column in enumerate(vectors.T):
-            order = np.argsort(column, kind="stable").astype(np.int32)
-            ranked = column[order]
+        for d, column in enumerate(np.ascontiguousarray(_narrow(vectors).T)):
+            order = np.argsort(column, kind="stable")
+            ranked = column[order].astype(np.int64)
             size = max(1, -(-(int(ranked[-1]) - int(ranked[0]) + 1) // STEPS))
             cuts = np.concatenate([[0], np.flatnonzero(np.diff((ranked - ranked[0]) // size)) + 1, [n]])
             first.append(len(dims))
-            postings.append(order)
+            postings.append(order.astype(np.uint16 if n <= 1 << 16 else np.int64))
             starts += (cuts[:-1] + d * n).tolist()
             dims += [d] * (len(cuts) - 1)
             low.append(ranked[cuts[:-1]])
             high.append(ranked[cuts[1:] - 1])
-        empty = np.zeros(0, np.int64)
+        empty, floats = np.zeros(0, np.int64), vectors.astype(np.float64)
+        norms = np.einsum("ij,ij->i", floats, floats)
+        peak = int(np.abs(vectors).max(initial=0))
         return cls(
-            ids, vectors, np.concatenate([*postings, empty.astype(np.int32)]), np.array([*starts, n * width], np.int64), np.array(dims, np.int64),
-            np.concatenate([*low, empty]), np.concatenate([*high, empty]), np.array(first, np.int64), vectors.astype(np.float64),
+            ids, vectors, np.concatenate(postings) if postings else empty, np.array([*starts, n * width], np.int64), np.array(dims, np.int64),
+            np.concatenate([*low, empty]), np.concatenate([*high, empty]), np.array(first, np.int64),
+            floats.astype(np.float32) if width * peak * peak < _EXACT_32 else floats, norms, np.empty(n * width, np.intp), peak,
         )
 
     def search(self, query: np.ndarray, own: int, k: int, least: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -95,54 +107,64 @@ class Index:
         n = len(self.ids)
         weights = query.astype(np.int64)
         self.asked += len(self.postings)
-        if not weights.any() or n <= 4 * k:  # every score is zero, or every member may belong
+        if not weights.any() or not self.norms.any() or n <= 4 * k:  # every score is zero, or every member may belong
             self.used += len(self.postings)
             return self._best(np.arange(n), weights, own, k, least)
-        w = weights[self.dim]
-        floor_ = np.where(weights > 0, self.low[self.first], np.maximum.reduceat(self.high, self.first))
-        impact = w * (np.where(w > 0, self.high, self.low) - floor_[self.dim])
-        # the same for what is known to be reached: scores count from that of the lists' far ends
-        bar = None if least is None else least - int(weights @ floor_)
-        if bar is not None and int(np.maximum.reduceat(impact, self.first).sum()) < bar:
-            return self._best(np.arange(0), weights, own, k, least)  # the first segments together are too little
-        # members of a segment may fall short of its impact by this much, in each dimension at worst
-        slack = int(np.maximum.reduceat(np.abs(w) * (self.high - self.low), self.first).sum())
+        w = weights.astype(np.float64)
+        # twice the score is (|w|^2 t + |v|^2 / t) less the sum of (t w - v)^2 / t, whatever t is; the bounds are tightest
+        # where t w is as long as v. All is counted in units of 1 / t
+        length = float(w @ w)
+        t = float(np.sqrt(self.norms.mean() / length))
+        centre = (t * w)[self.dim]
+        away = np.maximum(np.maximum(self.low - centre, centre - self.high), 0)
+        impact = away * away  # what each member of a segment loses at least
         sizes = np.diff(self.start)
-        order = np.argsort(-impact, kind="stable")
-        order = order[impact[order] > 0]
-        done = np.cumsum(sizes[order])
-        bounds = np.unique(np.searchsorted(done, done[-1] * np.arange(1, BANDS + 1) / BANDS, side="left") + 1) if len(order) else []
-        collected = np.zeros(n)
-        rest = impact.copy()
-        at = 0
+        # impacts in LEVELS steps, and how many postings each step and those above it hold
+        level = (impact * ((LEVELS - 1) / max(float(impact.max()), 1e-300))).astype(np.int64)
+        held = np.cumsum(np.bincount(level, sizes, LEVELS)[::-1])
+        cuts = LEVELS - 1 - np.searchsorted(held, np.array(SHARES) * held[-1])
+        best = self.norms + t * t * length  # the most that twice a member's score can be
+        whole = float(best.max()) * 1e-9  # far more than sums of so few floats can err by
+        bar = least
+        done = np.zeros(len(level), bool)
         possible = np.arange(n)
-        spare = int((self.ids == own).sum())  # these don't count towards the k
-        for to in bounds:
-            # the next segments by falling impact; those of one dimension lie side by side
-            band = np.sort(order[at:to])
+        for cut in [*cuts.tolist(), None]:
+            if bar is not None:
+                possible = np.flatnonzero(best >= 2 * t * bar - abs(2 * t * bar) * 1e-9 - whole)
+            if cut is None:
+                break  # all segments are used up
+            if len(possible) * FEWER <= n:
+                break  # scoring these exactly takes no longer than the next band
+            # the next segments by falling impact; those that lie side by side are read at once
+            band = np.flatnonzero((level >= cut) & ~done)
+            if not len(band):
+                continue
             runs = np.flatnonzero(np.diff(band) > 1) + 1
             heads, tails = band[np.concatenate([[0], runs])], band[np.concatenate([runs - 1, [len(band) - 1]])]
-            members = np.concatenate([self.postings[self.start[a] : self.start[b + 1]] for a, b in zip(heads.tolist(), tails.tolist())])
-            collected += np.bincount(members, np.repeat(impact[band].astype(np.float64), sizes[band]), n)
+            members = self.room[: int(sizes[band].sum())]
+            np.concatenate([self.postings[a:b] for a, b in zip(self.start[heads].tolist(), self.start[tails + 1].tolist())], out=members)
+            best -= np.bincount(members, np.repeat(impact[band], sizes[band]), n)
             self.used += len(members)
-            rest[band] = 0
-            at = to
-            # proof: what is collected, less the slack, is a lower bound, as no impact is negative; with the next
-            # impact of every list it is an upper one
-            left = int(np.maximum.reduceat(rest, self.first).sum())
-            kth = bar
-            if bar is None:
-                kth = np.partition(collected, n - k - spare)[n - k - spare] - slack if n > k + spare else 0
-            possible = np.flatnonzero(collected + left >= kth)
-            if len(possible) * len(self.first) <= int(done[-1] - done[min(at, len(done)) - 1]):
-                break  # scoring these exactly is no more than what the segments left hold
+            done[band] = True
+            if least is None:  # the k-th best of any members is a lower bound; those that lost least are likely ones
+                likely = np.argpartition(-best, 4 * k)[: 4 * k]
+                likely = likely[self.ids[likely] != own]
+                if len(likely) >= k:
+                    kth = int(np.partition(self._scores(likely, weights), len(likely) - k)[len(likely) - k])
+                    bar = kth if bar is None else max(bar, kth)
         return self._best(possible, weights, own, k, least)
 
+    def _scores(self, members: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Exact scores: products and sums of whole numbers that floats hold, and fast."""
+        rows = self.floats[members]
+        if rows.dtype == np.float32 and rows.shape[1] * self.peak * int(np.abs(weights).max(initial=0)) >= _EXACT_32:
+            rows = rows.astype(np.float64)
+        return (rows @ weights.astype(rows.dtype)).astype(np.int64)
+
     def _best(self, members: np.ndarray, weights: np.ndarray, own: int, k: int, least: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Exact scores of the members that may belong to the result, the k best of them."""
         members = members[self.ids[members] != own]
-        # whole numbers below 2**53 in floats: products and sums are exact, and fast
-        scores = (self.floats[members] @ weights.astype(np.float64)).astype(np.int64)
+        scores = self._scores(members, weights)
         if least is not None:
             members, scores = members[scores >= least], scores[scores >= least]
         order = np.lexsort((self.ids[members], -scores))[:k]
@@ -258,7 +280,7 @@ class _Plain:
 def _meet(index: DataFrame, queries: DataFrame, count: int, k: int) -> DataFrame:
     """Search packs of queries (with ``no``, the block they go to): a block's vectors and its queries come to one task."""
     rows = index.withColumn("turn", F.lit(-1).cast("long")).unionByName(queries.withColumn("turn", F.col("block")))
-    dealt = rows.select("no", "turn", "n", "d", "ids", "rows", "least").repartition(count, "no").sortWithinPartitions("no", "turn")
+    dealt = rows.select("no", "turn", "n", "d", "ids", "rows", "least").repartitionById(count, "no").sortWithinPartitions("no", "turn")
     return dealt.mapInArrow(_search(k), _FOUND)
 
 
@@ -282,7 +304,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE
     asked, _ = materialize(numbers.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("no", home), "impact-queries")
 
     def packs(queries: DataFrame) -> DataFrame:
-        return queries.select("vec_id", "v", "least", "no").repartition(count, "no").sortWithinPartitions("no").mapInArrow(_pack(QUERIES), _PACKED)
+        return queries.select("vec_id", "v", "least", "no").repartitionById(count, "no").sortWithinPartitions("no").mapInArrow(_pack(QUERIES), _PACKED)
 
     found, _ = materialize(_meet(index, packs(asked.withColumn("least", F.lit(None).cast("long"))), count, k), "impact-found")
     kth = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))

@@ -212,6 +212,57 @@ def test_a_known_bound_changes_no_result():
             assert list(zip((-scores).tolist(), ids.tolist())) == sorted(want)[:20]
 
 
+def test_top_k_leaves_most_postings_unread_without_clusters():
+    rng = np.random.default_rng(11)
+    unit = rng.normal(size=(4000, 64))
+    vectors = np.floor(64 * unit / np.linalg.norm(unit, axis=1)[:, None]).astype(np.int64)
+    index = impact_index.Index.build(np.arange(4000), vectors)
+    rescored, best = [], index._best
+    index._best = lambda members, *a: (rescored.append(len(members)), best(members, *a))[1]
+    for q in range(20):
+        true = vectors @ vectors[q]
+        order = [i for i in np.lexsort((np.arange(4000), -true)) if i != q][:20]
+        for least in (None, int(true[order[-1]])):
+            ids, scores = index.search(vectors[q], q, 20, least)
+            assert ids.tolist() == order and scores.tolist() == true[order].tolist()
+    assert index.used < 0.4 * index.asked and max(rescored) <= 1000
+
+
+@pytest.mark.parametrize("kind", ["wide", "tail", "constant", "sparse", "one id"])
+def test_search_equals_plain_products(kind):
+    rng = np.random.default_rng(12)
+    n, d, ids = 700, 12, np.arange(700)
+    if kind == "wide":  # steps of many values
+        vectors = rng.integers(-40_000, 40_000, (n, d))
+    elif kind == "tail":  # a few long vectors
+        vectors = np.floor(rng.normal(size=(n, d)) * np.where(rng.random((n, 1)) < 0.05, 1e6, 3)).astype(np.int64)
+    elif kind == "constant":
+        vectors = np.tile(rng.integers(-5, 6, d), (n, 1))
+    elif kind == "sparse":
+        vectors = rng.integers(-50, 50, (n, d)) * (rng.random((n, d)) < 0.05)
+    else:  # fewer than k members are not the query's own
+        vectors, ids = rng.integers(-30, 30, (n, d)), np.where(np.arange(n) < 10, np.arange(n), 99)
+    index = impact_index.Index.build(ids, vectors)
+    for q in range(0, n, 70):
+        for w in (vectors[q], -vectors[q], np.zeros(d, np.int64)):
+            true, fit = vectors @ w, np.flatnonzero(ids != ids[q])
+            order = fit[np.lexsort((ids[fit], -true[fit]))][:20]
+            for least in (None, int(true[order[-1]]) - 1, int(true[order[-1]]), int(true[order[0]])):
+                want = [i for i in order if least is None or true[i] >= least]
+                found, scores = index.search(w, int(ids[q]), 20, least)
+                assert found.tolist() == ids[want].tolist() and scores.tolist() == true[want].tolist()
+
+
+def test_each_block_has_a_task_of_its_own(spark):
+    schema = "block long, n int, d int, ids binary, rows binary, least array<long>, no int"
+    one = lambda no, i: (no, 1, 1, np.array([i], np.int64).tobytes(), b"\x01", [None], no)
+    index = spark.createDataFrame([one(no, no) for no in range(6)], schema)
+    asked = spark.createDataFrame([one(no, 100 + no) for no in range(6)], schema)
+    found = impact_index._meet(index, asked, 6, 20).withColumn("task", F.spark_partition_id()).collect()
+    assert {(r.query_id, r.vec_id, r.score) for r in found} == {(100 + no, no, 1) for no in range(6)}
+    assert len({r.task for r in found}) == 6
+
+
 # --- 5: toxicity ---------------------------------------------------------------------------------------------
 
 
